@@ -97,7 +97,7 @@ class Ranks:
             held[r] = token
         self.bytes_of = pa.array(held, pa.binary())
         self.decimal = pa.array([str(i) for i in range(size)], pa.string())
-        self.memo, self.first = ChunkMemo(self.spaced), ChunkMemo(self.texts, 20_000)
+        self.memo = ChunkMemo(self.spaced, self.texts)
 
     # -- merging -------------------------------------------------------------------------------------------------
 
@@ -226,7 +226,7 @@ class Ranks:
         return ids, np.add.reduceat(lengths, np.flatnonzero(opens))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return chunked(texts, self.memo, self.first, self.texts)
+        return chunked(texts, self.memo, self.texts)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of each run of ids."""

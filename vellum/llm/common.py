@@ -178,11 +178,14 @@ def window_hashes(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs values[start : start + length], one after another."""
-    total = int(lengths.sum())
+    ends = np.cumsum(lengths, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
     if not total:
         return values[:0]
-    base = np.cumsum(lengths) - lengths
-    return values[np.repeat(starts - base, lengths) + np.arange(total, dtype=np.int64)]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def fixed_binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

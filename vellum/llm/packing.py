@@ -97,13 +97,16 @@ def _pack(path: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, then=None, schema: str = PIECES) -> DataFrame:
     """Pieces of docs(doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian uint32).
 
     The pieces of a sequence lie in it without gaps from offset 0. One pass over the input, no shuffle.
+    then: a function of Arrow batches that the packing task applies to the pieces; schema: what it gives.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(vocabulary, end_id, capacity), PIECES)
+    run = _pack(vocabulary, end_id, capacity)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return src.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ are gathered from the chunks' ids. A text with any other spacing is encoded whol
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,84 +22,118 @@ _WS = r"\x09-\x0D\x1C-\x1F \x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}
 ODD_SPACING = rf"^ |(?: [{_WS}])|(?:[{_WS}] )| $"
 
 
+#: Neither vocabulary's pattern joins a letter or digit with these, so a piece always starts between the two.
+STOPS = ".,;:!?"
+
+
 class ChunkMemo:
-    """Token ids of chunks, kept as one flat array; forgotten as a whole beyond a fixed number of chunks."""
+    """Token ids of chunks in one flat store; texts' first chunks have keys of their own (heads).
 
-    def __init__(self, encode_many, most: int = 300_000):
-        self.encode_many, self.most = encode_many, most
+    Beyond ``most`` chunks those seen in one slice only are forgotten, and all if these are too few.
+    """
+
+    def __init__(self, encode_many, encode_heads=None, most: int = 500_000):
+        self.encode_many, self.encode_heads, self.most = encode_many, encode_heads, most
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.flat, self.starts, self.lengths, self.used, self.n = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0, 0
-
-    def rows(self, chunks: list[str]) -> np.ndarray:
-        get = self.row.get
-        found = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            if self.n + len(missing) > self.most and self.n:
-                self.clear()
-                missing = np.arange(len(chunks))
-            new = [chunks[i] for i in missing]
-            ids, lengths = self.encode_many(new)
-            self._grow(len(ids), len(new))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.lengths[self.n : self.n + len(new)] = lengths
-            self.starts[self.n : self.n + len(new)] = self.used + np.cumsum(lengths) - lengths
-            numbers = np.arange(self.n, self.n + len(new))
-            self.row.update(zip(new, numbers.tolist(), strict=True))
-            found[missing] = numbers
-            self.used += len(ids)
-            self.n += len(new)
-        return found
+        self.tails: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.flat, self.used, self.n = np.empty(1 << 16, np.int32), 0, 0
+        self.starts, self.lengths, self.seen = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def make_room(self, more: int) -> None:
+        """Called before a slice: rows that were given out stay valid within it."""
+        if self.n + more <= self.most or not self.n:
+            return
+        keep = self.seen[: self.n] > 1
+        if keep.sum() > self.most // 2:
+            keep = self.seen[: self.n] > np.partition(self.seen[: self.n], self.n - self.most // 2)[self.n - self.most // 2]
+        rows = np.flatnonzero(keep)
+        new = np.full(self.n, -1, np.int64)
+        new[rows] = np.arange(len(rows))
+        renumber = lambda d: {k: int(new[v]) for k, v in d.items() if keep[v]}
+        tails, heads = renumber(self.tails), renumber(self.heads)
+        starts, lengths, seen = self.starts[rows], self.lengths[rows], self.seen[rows]
+        flat = gather(self.flat, starts, lengths.astype(np.int64))
+        self.clear()
+        self.tails, self.heads = tails, heads
+        self._append(flat, lengths)
+        self.seen[: self.n] = seen // 2
 
-    def _grow(self, ids: int, rows: int) -> None:
-        while self.used + ids > len(self.flat):
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.n + rows > len(self.starts):
+        while self.n + len(lengths) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        rows = np.arange(self.n, self.n + len(lengths))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[rows] = lengths
+        self.starts[rows] = self.used + np.cumsum(lengths) - lengths
+        self.seen[rows] = 0
+        self.used += len(ids)
+        self.n += len(lengths)
+        return rows
+
+    def rows(self, chunks: list[str], heads: bool = False) -> np.ndarray:
+        """Rows of distinct chunks. A missing one that ends in stops is put together from the chunk without them and the stops."""
+        held, encode = (self.heads, self.encode_heads) if heads else (self.tails, self.encode_many)
+        found = np.fromiter(map(held.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            bare = [(c, c.rstrip(STOPS)) for c in dict.fromkeys([chunks[i] for i in missing])]
+            stopped = [(c, b, c[len(b) :]) for c, b in bare if b != c and b[-1:].isalnum()]
+            plain = [c for c, b in bare if b == c or not b[-1:].isalnum()]
+            new = [c for c in dict.fromkeys([*plain, *(b for _, b, _ in stopped)]) if c not in held]
+            if new:
+                held.update(zip(new, self._append(*encode(new)).tolist(), strict=True))
+            if stopped:
+                ends, encode_ends = (self.heads, self.encode_heads) if self.encode_heads else (self.tails, self.encode_many)
+                new = [e for e in dict.fromkeys(e for _, _, e in stopped) if e not in ends]
+                if new:
+                    ends.update(zip(new, self._append(*encode_ends(new)).tolist(), strict=True))
+                both = np.array([r for _, b, e in stopped for r in (held[b], ends[e])])
+                lengths = self.lengths[both]
+                rows = self._append(gather(self.flat, self.starts[both], lengths), lengths[::2] + lengths[1::2])
+                held.update(zip([c for c, _, _ in stopped], rows.tolist(), strict=True))
+            found[missing] = [held[chunks[i]] for i in missing]
+        self.seen[found] += 1
+        return found
 
 
-def chunked(texts: pa.Array, memo: ChunkMemo, first: ChunkMemo | None, whole) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and row offsets. memo encodes chunks after a space, first those that start a text
-    (None: they are encoded alike), whole odd texts."""
+def chunked(texts: pa.Array, memo: ChunkMemo, whole=None) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and row offsets. whole encodes texts of other spacing; None: any text may be cut at any space."""
     if texts.null_count:
         texts = texts.fill_null("")
-    odd = pc.match_substring_regex(texts, ODD_SPACING).to_numpy(zero_copy_only=False)
+    odd = np.zeros(len(texts), bool) if whole is None else pc.match_substring_regex(texts, ODD_SPACING).to_numpy(zero_copy_only=False)
     counts = np.zeros(len(texts), np.int64)
     regular = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
     pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(regular):
-        parts = pc.split_pattern(texts.take(pa.array(regular)), " ")
+        parts = pc.split_pattern(texts if len(regular) == len(texts) else texts.take(pa.array(regular)), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.flatten()
         offsets -= offsets[0]
-        heads = offsets[:-1]
-        inner = np.ones(len(flat), bool)
-        codes = np.empty(len(flat), np.int64)
-        lengths = np.empty(len(flat), np.int64)
-        if first is not None:
-            inner[heads] = False
-            head_rows = first.rows(flat.take(pa.array(heads)).to_pylist())
-            lengths[heads] = first.lengths[head_rows]
-        if inner.any():
+        if memo.encode_heads is None:
+            coded = flat.dictionary_encode()
+            memo.make_room(len(coded.dictionary))
+            codes = memo.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        else:
+            inner = np.ones(len(flat), bool)
+            inner[offsets[:-1]] = False
             coded = flat.filter(pa.array(inner)).dictionary_encode()
+            memo.make_room(len(coded.dictionary) + len(regular))
+            codes = np.empty(len(flat), np.int64)
+            codes[offsets[:-1]] = memo.rows(flat.take(pa.array(offsets[:-1])).to_pylist(), heads=True)
             codes[inner] = memo.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            lengths[inner] = memo.lengths[codes[inner]]
-        ends = np.cumsum(lengths)
-        row_ids = np.diff(np.concatenate([[0], ends])[offsets])
-        counts[regular] = row_ids
-        out = np.empty(int(ends[-1]), np.int32)
-        at = ends - lengths
-        if first is not None:
-            fill(out, at[heads], gather(first.flat, first.starts[head_rows], lengths[heads]), lengths[heads])
-        if inner.any():
-            fill(out, at[inner], gather(memo.flat, memo.starts[codes[inner]], lengths[inner]), lengths[inner])
+        lengths = memo.lengths[codes]
+        counts[regular] = np.add.reduceat(lengths, offsets[:-1], dtype=np.int64)
+        out = gather(memo.flat, memo.starts[codes], lengths)
         if len(regular) == len(texts):
             return out, np.concatenate([[0], np.cumsum(counts)])
-        pieces.append((regular, row_ids, out))
+        pieces.append((regular, counts[regular], out))
     rest = np.flatnonzero(odd)
     if len(rest):
         ids, lengths = whole(texts.take(pa.array(rest)).to_pylist())
@@ -147,7 +182,7 @@ class ByteLevel(_Library):
         self.opens = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")  # how a leading space is written in this vocabulary
-        self.memo, self.first = ChunkMemo(self.joined), ChunkMemo(self.each, 20_000)
+        self.memo = ChunkMemo(self.joined, self.each)
 
     def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [], []
@@ -164,7 +199,7 @@ class ByteLevel(_Library):
         return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return chunked(texts, self.memo, self.first, self.each)
+        return chunked(texts, self.memo, self.each)
 
 
 class WordLevel(_Library):
@@ -194,7 +229,8 @@ class WordLevel(_Library):
         return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return chunked(texts, self.memo, None, self.each)
+        # the vocabulary is in lower case, so texts that differ in A to Z alone share their chunks
+        return chunked(pc.ascii_lower(texts), self.memo)
 
 
 _LOADED: dict[tuple[type, str], _Library] = {}
@@ -205,3 +241,8 @@ def load(kind: type, path: str):
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
     return _LOADED[kind, path]
+
+
+def release() -> None:
+    """Frees what load keeps; a worker that goes on to other work need not hold it."""
+    _LOADED.clear()
