@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,24 +117,39 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, w
     return out.reshape(-1)[:n]
 
 
+def squeeze(ids: np.ndarray, coder: zstandard.ZstdCompressor) -> bytes:
+    """Ids between two stages: low and high bytes apart, compressed; wider ids stay as 32 bits."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        return b"4" + coder.compress(ids.astype("<u4").tobytes())
+    planes = ids.astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return b"2" + coder.compress(np.ascontiguousarray(planes).tobytes())
+
+
+def spread(held: pa.BinaryScalar, coder: zstandard.ZstdDecompressor) -> np.ndarray:
+    data = held.as_buffer().to_pybytes()
+    got = np.frombuffer(coder.decompress(data[1:]), np.uint8)
+    return got.view("<u4") if data[:1] == b"4" else np.ascontiguousarray(got.reshape(2, -1).T).view("<u2").reshape(-1).astype("<u4")
+
+
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = tokens.load(tokens.ByteLevel, path)
+        lib, coder = tokens.load(tokens.ByteLevel, path), zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "text"):
             ids, offsets = lib.encode(batch.column("text"))
-            n = len(offsets) - 1
-            held = np.insert(ids, offsets[1:], end_id).astype("<u4")
-            offsets = offsets + np.arange(n + 1)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), fixed_binary(held, offsets)], names=["doc_id", "tie", "ids"])
+            ids = np.insert(ids, offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))
+            held = pa.array([squeeze(ids[a:b], coder) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), held], names=["doc_id", "tie", "ids"])
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+    tokens.release()
+    total, coder = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
     for batch in batches:
-        for ids in batch.column("ids"):
-            got = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+        for at in range(0, batch.num_rows, 256):
+            got = np.bincount(np.concatenate([spread(ids, coder) for ids in batch.column("ids")[at : at + 256]]))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
@@ -145,7 +161,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, part = canonical(lengths), TaskContext.get().partitionId()
+        tokens.release()
+        codes, part, coder = canonical(lengths), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         block = start = held = 0
         docs: list[tuple[int | None, np.ndarray]] = []
 
@@ -159,10 +176,10 @@ def _encode(lengths: np.ndarray):
 
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(ids.as_buffer(), "<u4")
+                ids = spread(ids, coder)
                 if docs and held + len(ids) > BLOCK:
                     yield flush()
-                docs.append((doc, ids.copy()))
+                docs.append((doc, ids))
                 held += len(ids)
         if docs:
             yield flush()
@@ -198,7 +215,8 @@ def _decode(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, width = decode_table(lengths)
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 ids = unpack(r["payload"], np.frombuffer(r["checkpoints"], np.uint32), r["n"], table, width).astype("<u4")
                 size = np.frombuffer(r["doc_lengths"], "<i8")
                 doc_ids, nulls = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["doc_nulls"], np.uint8)
@@ -211,8 +229,14 @@ def _decode(lengths: np.ndarray):
     return run
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), from the files."""
+IDS = "doc_id long, start long, n_tokens long, ids binary"
+
+
+def read_ids(spark: SparkSession, path: str, then=None, schema: str = IDS) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), from the files.
+
+    then: a function of Arrow batches that the decoding task applies to them; schema: what it gives.
+    """
     ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     sizes = blocks.groupBy("part").agg(F.sum("n").alias("n")).toPandas().sort_values("part")  # a row a written file
@@ -224,7 +248,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), start, b.column("n_tokens"), b.column("ids")], names=["doc_id", "start", "n_tokens", "ids"])
 
     lengths = read_code(spark, path)
-    return blocks.mapInArrow(placed, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow((lambda batches: then(placed(batches))) if then else placed, schema)
+
+
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
