@@ -124,13 +124,15 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, mi
     out = base_features(rows)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("_removed")
-    return out.select(
-        *[F.col("_row").getField(c).alias(c) for c in columns],
+    verdict = F.struct(
         *FEATURES,
         failed.alias("base_failed"),
         F.col("_removed").cast("long").alias("n_line_words_removed"),
         (~failed & (left >= keep_share * F.col("n_words"))).alias("kept"),
     )
+    # a generator keeps a filter on the verdict from being pushed down, which would copy the expressions many times over
+    out = out.select("_row", F.explode(F.array(verdict)).alias("_v"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in columns], "_v.*")
 
 
 def _removed_by_join(rows: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -6,20 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat, huffman, packing, quality, sharding, topk
+from vellum.llm import bpe, chat, huffman, jaccard, packing, pages, quality, sharding, substrings, topk
 from vellum.llm.common import read, work_path
 
 
 def op1_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "huffman")
     huffman.write_ids(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    ids = huffman.read_ids(spark, path)
-    return ids.mapInArrow(huffman.digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return huffman.read_ids(spark, path, huffman.digest, huffman.DIGEST)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return pieces.mapInArrow(packing.digest, packing.DIGEST)
+    words = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(read(spark, sf_dir, "documents"), words, end_id=2, then=packing.digest, schema=packing.DIGEST)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +56,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FEATURES, *quality.VERDICT)
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman, op3_packing, op4_sharding, op6_topk, op7_chat, op9_bpe, op10_quality)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"), 35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pages.main_text(read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_ALL = [op1_huffman, op2_substring_dedup, op3_packing, op4_sharding, op5_jaccard_join, op6_topk, op7_chat, op8_main_text, op9_bpe, op10_quality]
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
