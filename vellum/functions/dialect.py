@@ -104,7 +104,7 @@ def format_time(value: Column, precision: int = 0) -> Column:
 
 def parse_type(text: str) -> ColumnType:
     """A column type of the dialect, as it stands in a definition (attributes such as COLLATE may follow)."""
-    m = re.match(r"\s*(double\s+precision|[a-z]+)\s*(\(([^()]*)\))?((?:\s+(?:unsigned|signed|zerofill))*)", text, re.I)
+    m = re.match(r"\s*(double\s+precision|[a-z]+)(?:\s*(\(([^()]*)\)))?((?:\s+(?:unsigned|signed|zerofill))*)", text, re.I)
     if not m:
         raise DialectError(f"not a type: {text}")
     name, arguments = re.sub(r"\s+", " ", m.group(1).lower()), m.group(3)
