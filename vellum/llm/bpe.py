@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import gather, raw, ship, slices
-from vellum.llm.tokens import ChunkMemo, chunked
+from vellum.llm.tokens import ChunkMemo, chunked, rest
 
 NONE = np.int32(2**31 - 1)
 LONG = 512
@@ -247,8 +247,9 @@ def load(path: str, pattern: str) -> Ranks:
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of a text column as array<int>, by the rank file at path."""
+    """df with the ids of a text column as array<int>, by the rank file at path; a column of that name is replaced."""
     ship(df.sparkSession)
+    df = df.drop(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path, pattern)
@@ -256,12 +257,13 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids
             flat, offsets = own.encode(b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], names=[*b.schema.names, ids])
 
-    return df.mapInArrow(run, df.drop(ids).withColumn(ids, F.lit(None).cast("array<int>")).schema)
+    return df.mapInArrow(run, df.withColumn(ids, F.lit(None).cast("array<int>")).schema)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "bytes") -> DataFrame:
     """df with the decoded bytes of a column of ids."""
     ship(df.sparkSession)
+    df = df.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path, pattern)
@@ -285,6 +287,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids, offsets = own.encode(b.column("text"))
             columns = [b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), sha(own.decimals(ids, offsets)), sha(own.decode(ids, offsets))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        rest(own.memo)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import bpe, chat, huffman, jaccard, packing, pages, quality, sharding, substrings, topk
 from vellum.llm.common import read, work_path
+from vellum.llm.oracles import ORACLES
 
 
 def op1_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,5 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [op1_huffman, op2_substring_dedup, op3_packing, op4_sharding, op5_jaccard_join, op6_topk, op7_chat, op8_main_text, op9_bpe, op10_quality]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
