@@ -76,13 +76,18 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bits of the ids' codes and the bit offset of every CHECKPOINT-th id."""
-    size = lengths[ids].astype(np.int64)
+def left_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths and codes, shifted to the top of 64 bits."""
+    size = lengths.astype(np.int64)
+    return size, canonical(lengths) << (64 - np.maximum(size, 1)).astype(np.uint64)
+
+
+def pack(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bits of the ids' codes (both from left_codes) and the bit offset of every CHECKPOINT-th id."""
+    size = sizes[ids]
     ends = np.cumsum(size)
     at = ends - size
-    shift = (64 - size - (at & 31)).astype(np.uint64)
-    value = codes[ids] << shift
+    value = codes[ids] >> (at & 31).astype(np.uint64)
     word = at >> 5
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     last = np.append(first[1:], len(ids)) - 1
@@ -103,73 +108,88 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     return table, width
 
 
-def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, width: int) -> np.ndarray:
-    """The ids of a block: each step reads one id at every checkpoint."""
-    data = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint64)
-    at, lanes = checkpoints.astype(np.int64), len(checkpoints)
-    out = np.zeros((lanes, CHECKPOINT), np.uint32)
+def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: np.ndarray, width: int) -> list[np.ndarray]:
+    """The ids of blocks (payload, checkpoints, ids): each step reads one id at every checkpoint of all blocks."""
+    data = np.frombuffer(b"".join(p + b"\0" * 8 for p, _, _ in blocks), np.uint8).astype(np.uint64)
+    base = np.cumsum([0] + [len(p) + 8 for p, _, _ in blocks])[:-1] * 8
+    at = np.concatenate([c.astype(np.int64) + b for (_, c, _), b in zip(blocks, base.tolist(), strict=True)])
+    out = np.zeros((CHECKPOINT, len(at)), np.uint32)
     wide = (data[:-4] << np.uint64(32)) | (data[1:-3] << np.uint64(24)) | (data[2:-2] << np.uint64(16)) | (data[3:-1] << np.uint64(8)) | data[4:]
     mask, most = np.uint64((1 << width) - 1), len(wide) - 1
-    for step in range(min(CHECKPOINT, n)):
+    for step in range(min(CHECKPOINT, max(n for _, _, n in blocks))):
         got = table[(wide[np.minimum(at >> 3, most)] >> (np.uint64(40 - width) - (at & 7).astype(np.uint64))) & mask]
-        out[:, step] = got >> np.uint32(5)
-        at = at + (got & np.uint32(31)).astype(np.int64)
-    return out.reshape(-1)[:n]
-
-
-def squeeze(ids: np.ndarray, coder: zstandard.ZstdCompressor) -> bytes:
-    """Ids between two stages: low and high bytes apart, compressed; wider ids stay as 32 bits."""
+        out[step] = got >> np.uint32(5)
+        at += got & np.uint32(31)
+    flat, lane, ids = np.ascontiguousarray(out.T).reshape(-1), 0, []
+    for _, c, n in blocks:
+        ids.append(flat[lane * CHECKPOINT : lane * CHECKPOINT + n])
+        lane += len(c)
+    return ids
+
+
+def squeeze(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Ids between two stages, a row a document: low and high bytes apart, compressed; wider ids stay as 32 bits."""
+    coder, out, cuts = zstandard.ZstdCompressor(level=1), [], offsets.tolist()
     if len(ids) and int(ids.max()) > 0xFFFF:
-        return b"4" + coder.compress(ids.astype("<u4").tobytes())
-    planes = ids.astype("<u2").view(np.uint8).reshape(-1, 2).T
-    return b"2" + coder.compress(np.ascontiguousarray(planes).tobytes())
+        wide = ids.astype("<u4")
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out.append(b"4" + coder.compress(wide[a:b].tobytes()))
+    else:
+        low, high = (ids & 0xFF).astype(np.uint8), (ids >> 8).astype(np.uint8)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out.append(b"2" + coder.compress(low[a:b].tobytes() + high[a:b].tobytes()))
+    return pa.array(out, pa.binary())
 
 
 def spread(held: pa.BinaryScalar, coder: zstandard.ZstdDecompressor) -> np.ndarray:
     data = held.as_buffer().to_pybytes()
     got = np.frombuffer(coder.decompress(data[1:]), np.uint8)
-    return got.view("<u4") if data[:1] == b"4" else np.ascontiguousarray(got.reshape(2, -1).T).view("<u2").reshape(-1).astype("<u4")
+    if data[:1] == b"4":
+        return got.view("<u4")
+    half = len(got) // 2
+    return got[:half] | (got[half:].astype(np.uint32) << np.uint32(8))
 
 
 def _tokenise(path: str, end_id: int):
+    """A row a document, and a last row that holds the task's count of every id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, coder = tokens.load(tokens.ByteLevel, path), zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text"):
+        lib, total = tokens.load(tokens.ByteLevel, path), np.zeros(0, np.int64)
+        names = ["doc_id", "tie", "ids", "counts"]
+        for batch in slices(batches, "text", tokens.SLICE):
             ids, offsets = lib.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
-            held = pa.array([squeeze(ids[a:b], coder) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), held], names=["doc_id", "tie", "ids"])
+            got = np.bincount(ids, minlength=len(total))
+            got[: len(total)] += total
+            total = got
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tie"), squeeze(ids, offsets), pa.nulls(len(offsets) - 1, pa.binary())], names=names)
+        held = zstandard.ZstdCompressor().compress(total.astype("<i8").tobytes())
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([held])], names=names)
+        tokens.rest(lib.memo)
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens.release()
-    total, coder = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            got = np.bincount(np.concatenate([spread(ids, coder) for ids in batch.column("ids")[at : at + 256]]))
-            if len(got) > len(total):
-                got[: len(total)] += total
-                total = got
-            else:
-                total[: len(got)] += got
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        for held in batch.column("counts").to_pylist():
+            total = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), "<i8")
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
 
 def _encode(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.release()
-        codes, part, coder = canonical(lengths), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
+        (sizes, codes), part, coder = left_codes(lengths), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         block = start = held = 0
         docs: list[tuple[int | None, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, held, docs
             ids = np.concatenate([x for _, x in docs])
-            payload, checks = pack(ids, lengths, codes)
+            payload, checks = pack(ids, sizes, codes)
             row = [part, block, start, len(ids), np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([d is None for d, _ in docs], np.uint8).tobytes(), np.array([len(x) for _, x in docs], "<i8").tobytes(), payload, checks.tobytes()]
             block, start, held, docs = block + 1, start + len(ids), 0, []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["part", "block", "start", "n", "doc_ids", "doc_nulls", "doc_lengths", "payload", "checkpoints"])
@@ -192,8 +212,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, limi
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    ids = stage(src.mapInArrow(_tokenise(vocabulary, end_id), "doc_id long, tie long, ids binary"), "ids")
-    counts = ids.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    held = stage(src.mapInArrow(_tokenise(vocabulary, end_id), "doc_id long, tie long, ids binary, counts binary"), "ids")
+    ids = held.where("ids IS NOT NULL").drop("counts")
+    counts = held.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     lengths = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     lengths[counts["id"].to_numpy()] = counts["n"].to_numpy()
     lengths = code_lengths(lengths, limit)
@@ -211,13 +232,24 @@ def read_code(spark: SparkSession, path: str) -> np.ndarray:
     return lengths
 
 
+def _decoded(batch: pa.RecordBatch, table: np.ndarray, width: int) -> Iterator[tuple[dict, np.ndarray]]:
+    """Rows of blocks with their ids, some blocks at once."""
+    at = 0
+    while at < batch.num_rows:
+        held, n = [], 0
+        while at < batch.num_rows and (not held or n < 32 * BLOCK):
+            held.append(batch.slice(at, 1).to_pylist()[0])
+            n += held[-1]["n"]
+            at += 1
+        blocks = [(r["payload"], np.frombuffer(r["checkpoints"], np.uint32), r["n"]) for r in held]
+        yield from zip(held, unpack(blocks, table, width), strict=True)
+
+
 def _decode(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, width = decode_table(lengths)
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                ids = unpack(r["payload"], np.frombuffer(r["checkpoints"], np.uint32), r["n"], table, width).astype("<u4")
+            for r, ids in _decoded(batch, table, width):
                 size = np.frombuffer(r["doc_lengths"], "<i8")
                 doc_ids, nulls = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["doc_nulls"], np.uint8)
                 ends = np.cumsum(size)

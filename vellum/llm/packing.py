@@ -81,7 +81,7 @@ class Bins:
 def _pack(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, bins = tokens.load(tokens.WordLevel, path), Bins(capacity, TaskContext.get().partitionId())
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", tokens.SLICE):
             ids, offsets = lib.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))
@@ -93,6 +93,7 @@ def _pack(path: str, end_id: int, capacity: int):
                     columns = [batch.column("doc_id").take(pa.array(docs)), pa.array(starts), pa.array(size), pa.array(lengths[docs]), held]
                     yield from bins.add(bit, pa.record_batch(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"]))
         yield from bins.close()
+        tokens.rest(lib.memo)
 
     return run
 

@@ -8,8 +8,9 @@ are gathered from the chunks' ids. A text with any other spacing is encoded whol
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,44 +23,74 @@ _WS = r"\x09-\x0D\x1C-\x1F \x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}
 ODD_SPACING = rf"^ |(?: [{_WS}])|(?:[{_WS}] )| $"
 
 
+#: Chunks that an idle worker keeps.
+IDLE = 200_000
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+#: Bytes of text whose chunks are looked up at once.
+SLICE = 12 << 20
+
 #: Neither vocabulary's pattern joins a letter or digit with these, so a piece always starts between the two.
 STOPS = ".,;:!?"
 
 
+class _Keys:
+    """Chunks and the rows that hold their ids; looked up as a whole column."""
+
+    def __init__(self, encode):
+        self.encode, self.names, self.rows = encode, pa.array([], pa.string()), np.empty(0, np.int64)
+
+    def find(self, chunks: pa.Array) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(chunks, self.names), -1).to_numpy(zero_copy_only=False)
+        return np.where(at < 0, -1, self.rows[at]) if len(self.rows) else np.full(len(chunks), -1, np.int64)
+
+    def add(self, chunks: pa.Array, rows: np.ndarray) -> None:
+        self.names, self.rows = pa.concat_arrays([self.names, chunks]), np.concatenate([self.rows, rows])
+
+    def keep(self, new: np.ndarray) -> None:
+        left = new[self.rows] >= 0
+        self.names, self.rows = self.names.filter(pa.array(left)), new[self.rows[left]]
+
+
 class ChunkMemo:
     """Token ids of chunks in one flat store; texts' first chunks have keys of their own (heads).
 
-    Beyond ``most`` chunks those seen in one slice only are forgotten, and all if these are too few.
+    Beyond ``most`` chunks those seen least are forgotten.
     """
 
-    def __init__(self, encode_many, encode_heads=None, most: int = 500_000):
-        self.encode_many, self.encode_heads, self.most = encode_many, encode_heads, most
-        self.clear()
+    def __init__(self, encode_many, encode_heads=None, most: int = 1_000_000):
+        self.most, self.tails = most, _Keys(encode_many)
+        self.heads = _Keys(encode_heads) if encode_heads else None
+        self._empty()
 
-    def clear(self) -> None:
-        self.tails: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
+    def _empty(self) -> None:
+        self.stops: dict[str, int] = {}
         self.flat, self.used, self.n = np.empty(1 << 16, np.int32), 0, 0
         self.starts, self.lengths, self.seen = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def make_room(self, more: int) -> None:
-        """Called before a slice: rows that were given out stay valid within it."""
-        if self.n + more <= self.most or not self.n:
+        """Called before a slice: rows that are given out stay valid within it."""
+        if self.n + more > self.most:
+            self.shrink(self.most // 2)
+
+    def shrink(self, to: int) -> None:
+        """Forgets all but the chunks seen most, of which about as many as asked for stay."""
+        if self.n <= to:
             return
-        keep = self.seen[: self.n] > 1
-        if keep.sum() > self.most // 2:
-            keep = self.seen[: self.n] > np.partition(self.seen[: self.n], self.n - self.most // 2)[self.n - self.most // 2]
-        rows = np.flatnonzero(keep)
+        seen = self.seen[: self.n]
+        least = 1 if (seen > 1).sum() <= to else np.partition(seen, self.n - to)[self.n - to]
+        rows = np.flatnonzero(seen > least)
         new = np.full(self.n, -1, np.int64)
         new[rows] = np.arange(len(rows))
-        renumber = lambda d: {k: int(new[v]) for k, v in d.items() if keep[v]}
-        tails, heads = renumber(self.tails), renumber(self.heads)
-        starts, lengths, seen = self.starts[rows], self.lengths[rows], self.seen[rows]
-        flat = gather(self.flat, starts, lengths.astype(np.int64))
-        self.clear()
-        self.tails, self.heads = tails, heads
+        self.tails.keep(new)
+        if self.heads:
+            self.heads.keep(new)
+        lengths = self.lengths[rows].copy()
+        flat, seen = gather(self.flat, self.starts[rows], lengths), seen[rows] // 2
+        self._empty()
         self._append(flat, lengths)
-        self.seen[: self.n] = seen // 2
+        self.seen[: self.n] = seen
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         while self.used + len(ids) > len(self.flat):
@@ -77,29 +108,43 @@ class ChunkMemo:
         self.n += len(lengths)
         return rows
 
-    def rows(self, chunks: list[str], heads: bool = False) -> np.ndarray:
+    def _ends(self, ends: list[str]) -> np.ndarray:
+        """Rows of runs of stops; there are few distinct ones."""
+        encode = (self.heads or self.tails).encode
+        coded = pa.array(ends, pa.string()).dictionary_encode()
+        new = [e for e in coded.dictionary.to_pylist() if e not in self.stops]
+        if new:
+            self.stops.update(zip(new, self._append(*encode(new)).tolist(), strict=True))
+        return np.array([self.stops[e] for e in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+
+    def rows(self, chunks: pa.Array, heads: bool = False) -> np.ndarray:
         """Rows of distinct chunks. A missing one that ends in stops is put together from the chunk without them and the stops."""
-        held, encode = (self.heads, self.encode_heads) if heads else (self.tails, self.encode_many)
-        found = np.fromiter(map(held.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            bare = [(c, c.rstrip(STOPS)) for c in dict.fromkeys([chunks[i] for i in missing])]
-            stopped = [(c, b, c[len(b) :]) for c, b in bare if b != c and b[-1:].isalnum()]
-            plain = [c for c, b in bare if b == c or not b[-1:].isalnum()]
-            new = [c for c in dict.fromkeys([*plain, *(b for _, b, _ in stopped)]) if c not in held]
-            if new:
-                held.update(zip(new, self._append(*encode(new)).tolist(), strict=True))
-            if stopped:
-                ends, encode_ends = (self.heads, self.encode_heads) if self.encode_heads else (self.tails, self.encode_many)
-                new = [e for e in dict.fromkeys(e for _, _, e in stopped) if e not in ends]
-                if new:
-                    ends.update(zip(new, self._append(*encode_ends(new)).tolist(), strict=True))
-                both = np.array([r for _, b, e in stopped for r in (held[b], ends[e])])
-                lengths = self.lengths[both]
-                rows = self._append(gather(self.flat, self.starts[both], lengths), lengths[::2] + lengths[1::2])
-                held.update(zip([c for c, _, _ in stopped], rows.tolist(), strict=True))
-            found[missing] = [held[chunks[i]] for i in missing]
-        self.seen[found] += 1
+        keys = self.heads if heads else self.tails
+        bare = pc.utf8_rtrim(chunks, STOPS)
+        both = keys.find(pa.concat_arrays([chunks, bare]))  # one look-up: it hashes all keys
+        found, below = both[: len(chunks)].copy(), both[len(chunks) :]
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            at = pa.array(missing)
+            names, base, below = chunks.take(at), bare.take(at), below[missing]
+            stopped = pc.and_(pc.not_equal(names, base), pc.match_substring_regex(base, r"[\pL\pN]$")).to_numpy(zero_copy_only=False)
+            wanted = pc.if_else(pa.array(stopped), base, names)
+            rows = np.where(stopped, below, -1)
+            coded = wanted.filter(pa.array(rows < 0)).dictionary_encode()
+            if len(coded.dictionary):
+                fresh = self._append(*keys.encode(coded.dictionary.to_pylist()))
+                keys.add(coded.dictionary, fresh)
+                rows[rows < 0] = fresh[coded.indices.to_numpy()]
+            found[missing] = rows
+            if stopped.any():
+                own, cut = names.filter(pa.array(stopped)), base.filter(pa.array(stopped))
+                ends = self._ends([n[len(b) :] for n, b in zip(own.to_pylist(), cut.to_pylist(), strict=True)])
+                pair = np.stack([rows[stopped], ends], axis=1).reshape(-1)
+                lengths = self.lengths[pair]
+                made = self._append(gather(self.flat, self.starts[pair], lengths), lengths[::2] + lengths[1::2])
+                keys.add(own, made)
+                found[missing[stopped]] = made
+        np.add.at(self.seen, found, 1)
         return found
 
 
@@ -116,18 +161,19 @@ def chunked(texts: pa.Array, memo: ChunkMemo, whole=None) -> tuple[np.ndarray, n
         offsets = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.flatten()
         offsets -= offsets[0]
-        if memo.encode_heads is None:
+        if memo.heads is None:
             coded = flat.dictionary_encode()
             memo.make_room(len(coded.dictionary))
-            codes = memo.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            codes = memo.rows(coded.dictionary)[coded.indices.to_numpy()]
         else:
             inner = np.ones(len(flat), bool)
             inner[offsets[:-1]] = False
             coded = flat.filter(pa.array(inner)).dictionary_encode()
             memo.make_room(len(coded.dictionary) + len(regular))
             codes = np.empty(len(flat), np.int64)
-            codes[offsets[:-1]] = memo.rows(flat.take(pa.array(offsets[:-1])).to_pylist(), heads=True)
-            codes[inner] = memo.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            first = flat.take(pa.array(offsets[:-1])).dictionary_encode()
+            codes[offsets[:-1]] = memo.rows(first.dictionary, heads=True)[first.indices.to_numpy()]
+            codes[inner] = memo.rows(coded.dictionary)[coded.indices.to_numpy()]
         lengths = memo.lengths[codes]
         counts[regular] = np.add.reduceat(lengths, offsets[:-1], dtype=np.int64)
         out = gather(memo.flat, memo.starts[codes], lengths)
@@ -243,6 +289,20 @@ def load(kind: type, path: str):
     return _LOADED[kind, path]
 
 
+def rest(memo: ChunkMemo) -> None:
+    """At the end of a task: an idle worker keeps the most frequent chunks and gives the rest of its memory back."""
+    memo.shrink(IDLE)
+    trim()
+
+
 def release() -> None:
     """Frees what load keeps; a worker that goes on to other work need not hold it."""
     _LOADED.clear()
+    trim()
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
