@@ -184,3 +184,11 @@ def test_explain_pushes_down(s):
     s.engine.checkpoint()
     plan = "\n".join(r[0] for r in rows(s, "EXPLAIN SELECT v FROM t WHERE id = 1"))
     assert "PushedFilters" in plan and "GreaterThan" not in plan and "w" not in plan.split("ReadSchema")[1].split("\n")[0].replace("struct", "")
+
+
+def test_fractions_are_rounded(s):
+    s.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, a DATETIME, b DATETIME(3), c TIMESTAMP(6), d TIME(3), e TIME)")
+    s.execute("INSERT INTO t VALUES (1, '2020-01-01 00:00:59.5', '2020-01-01 00:00:00.1236', '2020-01-01 00:00:00.123456', '1:02:03.4567', '-0:00:01.5')")
+    got = rows(s, "SELECT a, b, c FROM t")[0]
+    assert [v.isoformat() for v in got] == ["2020-01-01T00:01:00", "2020-01-01T00:00:00.124000", "2020-01-01T00:00:00.123456"]
+    assert tuple(s.rows("t").select(format_time(F.col("d"), 3), format_time(F.col("e"))).first()) == ("01:02:03.457", "-00:00:02")

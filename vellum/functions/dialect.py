@@ -60,10 +60,12 @@ class ColumnType:
         if name == "json":
             return F.to_json(F.parse_json(value.cast("string")))
         if name == "time":
-            return parse_time(value)
+            return parse_time(value, self.precision or 0)
         out = value.cast(re.sub(r" COLLATE \w+", "", self.spark))
         if name in ("datetime", "timestamp") and self.precision is not None and self.precision < 6:
-            out = F.date_trunc("second", out + F.expr("INTERVAL '0.5' SECOND")).cast(self.spark) if self.precision == 0 else out
+            second = F.extract(F.lit("SECOND"), out)
+            shift = (F.round(second, self.precision) - second).cast("decimal(18,6)")
+            out = (out + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), shift)).cast(self.spark)
         if self.low is not None and (name == "mediumint" or "unsigned" in name):
             fits = out.isNull() | ((out >= F.lit(self.low)) & (out <= F.lit(str(self.high)).cast("decimal(20,0)")))
             out = F.when(fits, out).otherwise(F.raise_error(F.concat(F.lit(f"out of range for {name}: "), out.cast("string"))).cast(self.spark))
@@ -80,11 +82,12 @@ class ColumnType:
         return F.array_position(F.array(*[F.lit(v) for v in self.values]), column) if self.name == "enum" else column
 
 
-def parse_time(value: Column) -> Column:
-    """'[-]H:MM[:SS[.ffffff]]' up to 838:59:59 as an interval."""
+def parse_time(value: Column, precision: int = 6) -> Column:
+    """'[-]H:MM[:SS[.ffffff]]' up to 838:59:59 as an interval, rounded to a number of digits."""
     text = value.cast("string")
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^(-?)(\d{1,3}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?$", i), F.lit("")), F.lit("0"))
     micros = ((part(2).cast("long") * 60 + part(3).cast("long")) * 60 + part(4).cast("long")) * 1000000 + F.rpad(part(5), 6, "0").cast("long")
+    micros = (F.round(micros / 10 ** (6 - precision)) * 10 ** (6 - precision)).cast("long")
     fits = text.rlike(r"^-?\d{1,3}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?$") & (micros <= 3020399000000) & (part(3).cast("int") < 60) & (part(4).cast("int") < 60)
     signed = F.when(text.startswith("-"), -micros).otherwise(micros)
     span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (signed / 1000000).cast("decimal(18,6)")).cast("interval hour to second")
@@ -93,7 +96,8 @@ def parse_time(value: Column) -> Column:
 
 def format_time(value: Column, precision: int = 0) -> Column:
     """An interval as '[-]HH:MM:SS[.fff]'."""
-    micros = F.expr("0") + (F.extract(F.lit("HOUR"), value).cast("long") * 3600 + F.extract(F.lit("MINUTE"), value).cast("long") * 60) * 1000000 + (F.extract(F.lit("SECOND"), value).cast("decimal(18,6)") * 1000000).cast("long")
+    value = value.cast("interval day to second")
+    micros = (F.extract(F.lit("DAY"), value).cast("long") * 86400 + F.extract(F.lit("HOUR"), value).cast("long") * 3600 + F.extract(F.lit("MINUTE"), value).cast("long") * 60) * 1000000 + (F.extract(F.lit("SECOND"), value).cast("decimal(18,6)") * 1000000).cast("long")
     size = F.abs(micros)
     seconds = (size / 1000000).cast("long")
     text = F.concat(F.when(micros < 0, "-").otherwise(""), F.when(seconds < 360000, F.lpad((seconds / 3600).cast("long").cast("string"), 2, "0")).otherwise((seconds / 3600).cast("long").cast("string")), F.lit(":"), F.lpad(((seconds / 60).cast("long") % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
