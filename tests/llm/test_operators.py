@@ -448,3 +448,11 @@ def test_word_hashes_differ():
     data, offsets = common.raw(pa.array([" ".join(held)]))
     starts, ends, _ = common.word_spans(data, offsets)
     assert len(np.unique(common.word_hashes(data, starts, ends))) == len(set(held))
+
+
+def test_staged_tables_can_be_removed(spark):
+    df = common.stage(spark.range(3), "gone")
+    assert df.count() == 3
+    common.clean_work(spark)
+    with pytest.raises(Exception, match="exist|FILE"):
+        df.count()

@@ -46,6 +46,15 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean_work(spark: SparkSession) -> None:
+    """Removes the tables that stage has left in the shared folder; DataFrames that read them end with this."""
+    jvm, root = spark.sparkContext._jvm, work_root(spark)
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/vellum-*")) or []:
+        fs.delete(found.getPath(), True)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers of any cluster: adds it once as a zip file."""
     sc = spark.sparkContext

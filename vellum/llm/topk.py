@@ -121,8 +121,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ship(spark)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = "ids binary, matrix binary, terms int"
-    # a query may be lost or doubled by no retry: blocks are made after an exchange that is written once by the join
-    asked = queries.dropDuplicates(["vec_id", "v"]).mapInArrow(_packed(QUERY_BLOCK), packed)
+    # sorted, so that a task that runs again makes the same blocks
+    asked = queries.dropDuplicates(["vec_id", "v"]).sortWithinPartitions("vec_id", "v").mapInArrow(_packed(QUERY_BLOCK), packed)
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("terms").alias("q_terms"), F.xxhash64("ids", "matrix").alias("q_block"))
     asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     blocks = vectors.mapInArrow(_packed(BLOCK), packed)
