@@ -2,7 +2,7 @@
 
 1. Each partition sketches its window hashes: two rows of cells that count 0, 1 or "more". The partitions' sketches
    are merged, a slice of cells a task; a window's count is never above the smaller of its two cells.
-2. A second pass keeps the windows that both cells hold for repeated, with 96 bits of hash and their place, groups them
+2. A second pass keeps the windows that both cells hold for repeated, with over 80 bits of hash and their place, groups them
    first in the task (a hash found twice there needs no place any more: it is repeated) and then, in buckets by hash,
    over all tasks. So however often a window occurs, a task hands on one entry for it at most.
 3. The places of repeated windows are gathered by document, joined to the texts, and the words they cover removed.
@@ -23,17 +23,24 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import raw, ship, slices, window_hashes, word_hashes, word_spans
+from vellum.llm.common import raw, ship, slices, stage, window_hashes, word_hashes, word_spans
 
-CELLS_PER_BYTE = 0.5
+CELLS_PER_BYTE = 1
 SLICE = 1 << 20
 #: Windows after which a task hands on what it holds.
 FLUSH = 3_000_000
+#: Spans up to this size are broadcast to the texts; beyond, texts and spans are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: A window: its hash (h, of which a bucket's blob keeps 48 bits, and g), first word and document. A document is written as
+#: task << 32 | number in the task, which compresses better than its key; KEY rows translate it.
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<i4"), ("doc", "<i8")])
 PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
+KEY = np.dtype([("doc", "<i8"), ("key", "<i8")])
+KEPT = {"h": 6}  # bytes of a field that a blob keeps, from the lowest
 RESULT = ["n_words", "n_removed", "kept_text"]
 
 
@@ -70,11 +77,8 @@ def _sketch(size: int, n: int):
                 of.sort()
                 bounds = np.searchsorted(of, np.arange(0, n + SLICE, SLICE))
                 for s in np.flatnonzero(np.diff(bounds)):
-                    own = of[bounds[s] : bounds[s + 1]] - s * SLICE
-                    one, two = np.zeros(SLICE, bool), np.zeros(SLICE, bool)
-                    one[own] = True
-                    two[own[1:][own[1:] == own[:-1]]] = True
-                    yield pa.record_batch([pa.array([s], pa.int32()), *(pa.array([coder.compress(np.packbits(x).tobytes())]) for x in (one, two))], names=["slice", "one", "two"])
+                    own = coder.compress(_gaps(of[bounds[s] : bounds[s + 1]] - s * SLICE))
+                    yield pa.record_batch([pa.array([s], pa.int32()), pa.array([own])], names=["slice", "cells"])
 
         for batch in slices(batches, "text"):
             h = windows(batch.column("text"), size)[0]
@@ -89,23 +93,38 @@ def _sketch(size: int, n: int):
     return run
 
 
+def _gaps(cells: np.ndarray) -> bytes:
+    """Sorted cells as the gaps between them, a byte each; 255 stands for a gap that goes on."""
+    gap = np.diff(cells, prepend=0)
+    more = gap // 255
+    out = np.full(int(more.sum()) + len(gap), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+def _cells(gaps: bytes) -> np.ndarray:
+    raw_gaps = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(raw_gaps, dtype=np.int64)[raw_gaps < 255]
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the sketches of each slice; rows come sorted by slice."""
-    coder, now, one, two = zstandard.ZstdDecompressor(), None, None, None
+    """Adds up the sketches of each slice, to 2 at most; rows come sorted by slice."""
+    coder, now, count = zstandard.ZstdDecompressor(), None, np.zeros(SLICE, np.uint8)
 
     def done() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([now], pa.int32()), pa.array([two.tobytes()])], names=["slice", "two"])
+        return pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(count > 1).tobytes()])], names=["slice", "two"])
 
     for b in batches:
-        for s, x, y in zip(b.column("slice").to_pylist(), b.column("one"), b.column("two"), strict=True):
-            x, y = (np.frombuffer(coder.decompress(v.as_buffer().to_pybytes()), np.uint8) for v in (x, y))
+        for s, held in zip(b.column("slice").to_pylist(), b.column("cells"), strict=True):
             if s != now:
                 if now is not None:
                     yield done()
-                now, one, two = s, x.copy(), y.copy()
-            else:
-                two |= y | (one & x)
-                one |= x
+                now = s
+                count[:] = 0
+            at = _cells(coder.decompress(held.as_buffer().to_pybytes()))
+            again = at[1:][at[1:] == at[:-1]]
+            count[at] = np.minimum(count[at] + 1, 2)
+            count[again] = 2
     if now is not None:
         yield done()
 
@@ -114,7 +133,7 @@ def repeated_cells(texts: DataFrame, size: int, n: int) -> np.ndarray:
     """The merged sketch as bits: cells that count more than one. At most max_sketch_bytes go to the driver."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.select("text").mapInArrow(_sketch(size, n), "slice int, one binary, two binary")
+    sent = texts.select("text").mapInArrow(_sketch(size, n), "slice int, cells binary")
     merged = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, two binary")
     bits = np.zeros(-(-n // SLICE) * SLICE // 8, np.uint8)
     for r in merged.toLocalIterator():
@@ -123,27 +142,33 @@ def repeated_cells(texts: DataFrame, size: int, n: int) -> np.ndarray:
 
 
 def _blob(values: np.ndarray, coder: zstandard.ZstdCompressor) -> bytes:
-    """A structured array by columns, compressed."""
-    return coder.compress(b"".join(np.ascontiguousarray(values[f]).view(np.uint8).reshape(len(values), -1).T.tobytes() for f in values.dtype.names))
+    """A structured array by byte columns, compressed."""
+    columns = []
+    for f in values.dtype.names:
+        planes = np.ascontiguousarray(values[f]).view(np.uint8).reshape(len(values), -1).T
+        columns.append(planes[: KEPT.get(f, len(planes))].tobytes())
+    return coder.compress(b"".join(columns))
 
 
 def _unblob(data: bytes, kind: np.dtype, coder: zstandard.ZstdDecompressor) -> np.ndarray:
     flat = np.frombuffer(coder.decompress(data), np.uint8)
-    n = len(flat) // kind.itemsize
+    kept = {f: KEPT.get(f, kind[f].itemsize) for f in kind.names}
+    n = len(flat) // sum(kept.values())
     out, at = np.empty(n, kind), 0
-    for f in kind.names:
-        w = kind[f].itemsize
-        out[f] = np.ascontiguousarray(flat[at : at + n * w].reshape(w, n).T).view(kind[f]).reshape(-1)
+    for f, w in kept.items():
+        planes = np.zeros((kind[f].itemsize, n), np.uint8)
+        planes[:w] = flat[at : at + n * w].reshape(w, n)
+        out[f] = np.ascontiguousarray(planes.T).view(kind[f]).reshape(-1)
         at += n * w
     return out
 
 
-def _by_bucket(values: np.ndarray, bucket: np.ndarray, base: int, coder) -> Iterator[tuple[int, bytes]]:
+def _by_bucket(values: np.ndarray, bucket: np.ndarray, base: int, coder, mark: bytes = b"") -> Iterator[tuple[int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     values, bucket = values[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(values) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield base + int(bucket[a]), _blob(values[a:b], coder)
+        yield base + int(bucket[a]), mark + _blob(values[a:b], coder)
 
 
 def _hash_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -159,15 +184,19 @@ def _rows(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _candidates(size: int, n: int, bits, buckets: int):
-    """Second pass: buckets 0 to buckets - 1 take entries by hash, the next as many take places of windows repeated here."""
+    """Second pass: buckets 0 to buckets - 1 take entries by hash, the next as many (by document) take places of windows that
+    are repeated here already (marked p) and the documents' keys (marked k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, count, two = zstandard.ZstdCompressor(level=1), [], 0, bits.value
+        coder, held, count, keys = zstandard.ZstdCompressor(level=1), [], 0, []
+        two = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits.value), np.uint8)
+        task, n_docs = TaskContext.get().partitionId() << 32, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, count
+            nonlocal held, count, keys
             e = np.concatenate(held)
-            held, count = [], 0
+            named = np.concatenate(keys)
+            held, count, keys = [], 0, []
             e = e[np.lexsort((e["g"], e["h"]))]
             first = np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["g"][1:] != e["g"][:-1])])
             group = np.cumsum(first) - 1
@@ -180,7 +209,8 @@ def _candidates(size: int, n: int, bits, buckets: int):
             e["at"][again], e["doc"][again] = -1, 0
             e = e[np.lexsort((e["at"], e["doc"]))]
             out = list(_by_bucket(e, _hash_bucket(e["h"], buckets), 0, coder))
-            return _rows(out + list(_by_bucket(places, _doc_bucket(places["doc"], buckets), buckets, coder)))
+            out += _by_bucket(places, _doc_bucket(places["doc"], buckets), buckets, coder, b"p")
+            return _rows(out + list(_by_bucket(named, _doc_bucket(named["doc"], buckets), buckets, coder, b"k")))
 
         for batch in slices(batches, "text"):
             h, g, row, at = windows(batch.column("text"), size)
@@ -191,8 +221,13 @@ def _candidates(size: int, n: int, bits, buckets: int):
                 hit &= (two[of >> 3] >> (7 - (of & 7)).astype(np.uint8)) & 1 == 1
             e = np.empty(int(hit.sum()), ENTRY)
             e["h"], e["g"], e["at"] = h[hit], (g[hit] >> np.uint64(32)).astype(np.uint32), at[hit]
-            e["doc"] = batch.column("key").to_numpy()[row[hit]]
+            e["doc"] = task | (n_docs + row[hit].astype(np.int64))
             held.append(e)
+            own = np.unique(row[hit])
+            named = np.empty(len(own), KEY)
+            named["doc"], named["key"] = task | (n_docs + own.astype(np.int64)), batch.column("key").to_numpy()[own]
+            keys.append(named)
+            n_docs += batch.num_rows
             count += len(e)
             if count >= FLUSH:
                 yield flush()
@@ -235,7 +270,7 @@ def _resolve(buckets: int):
             places = np.empty(len(e), PLACE)
             places["doc"], places["at"] = e["doc"], e["at"]
             places = places[np.lexsort((places["at"], places["doc"]))]
-            out = list(_by_bucket(places, _doc_bucket(places["doc"], buckets), buckets, up))
+            out = list(_by_bucket(places, _doc_bucket(places["doc"], buckets), buckets, up, b"p"))
             if out:
                 yield _rows(out)
 
@@ -248,7 +283,13 @@ def _spans(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         down = zstandard.ZstdDecompressor()
         for _, held in _grouped(batches):
-            p = np.concatenate([_unblob(v, PLACE, down) for v in held])
+            places = [_unblob(v[1:], PLACE, down) for v in held if v[:1] == b"p"]
+            if not places:
+                continue
+            p = np.concatenate(places)
+            names = np.concatenate([_unblob(v[1:], KEY, down) for v in held if v[:1] == b"k"])
+            names = names[np.argsort(names["doc"], kind="stable")]
+            p["doc"] = names["key"][np.searchsorted(names["doc"], p["doc"])]
             p = p[np.lexsort((p["at"], p["doc"]))]
             fresh = np.concatenate([[True], p["doc"][1:] != p["doc"][:-1]])
             opens = fresh | np.concatenate([[True], p["at"][1:] > p["at"][:-1] + size])
@@ -262,19 +303,23 @@ def _spans(size: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, size: int = 35, max_sketch_bytes: int = 64 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = 35, max_sketch_bytes: int = 128 << 20) -> DataFrame:
     """key (of a doc_id and text, as below) and spans: word ranges (pairs of int32) that repeated windows cover."""
     spark = docs.sparkSession
     ship(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(min(max(total * CELLS_PER_BYTE, 2 * SLICE), max_sketch_bytes * 8)) // (2 * SLICE) * 2 * SLICE
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, size, n))
+    bits = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=3).compress(repeated_cells(docs, size, n).tobytes()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * parts, int(total // (4 << 20)))
     kind = "bucket long, held binary"
     found = docs.select("key", "text").mapInArrow(_candidates(size, n, bits, buckets), kind)
     found = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(buckets), kind)
-    return found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_spans(size), "key long, spans binary")
+    spans = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_spans(size), "key long, spans binary")
+    # equal rows have equal spans, perhaps from two buckets
+    spans = stage(spans.groupBy("key").agg(F.first("spans").alias("spans")), "spans")
+    bits.destroy()  # workers need not hold the sketch any longer
+    return spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,13 +339,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("_row"), *made], names=["_row", *RESULT])
 
 
-def remove_repeated(docs: DataFrame, size: int = 35, max_sketch_bytes: int = 64 << 20) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = 35, max_sketch_bytes: int = 128 << 20) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the kept words joined by one space)."""
     docs = docs.drop(*RESULT)
     columns = docs.columns
     others = [c for c in columns if c != "text"]
     keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in others]).alias("_row"), F.col("text"), F.xxhash64("doc_id", "text").alias("key"))
     spans = repeated_spans(keyed, size, max_sketch_bytes).select("key", F.col("spans").alias("_spans"))
+    total = spans.agg(F.sum(F.octet_length("_spans") + 32)).first()[0] or 0
+    spans = F.broadcast(spans) if total <= BROADCAST_BYTES else spans
     joined = keyed.join(spans, "key", "left").select(F.struct("_row", "text").alias("_row"), F.col("text").alias("_text"), "_spans")
     schema = joined.select("_row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     out = joined.mapInArrow(_cut, schema)
