@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -424,10 +423,11 @@ def test_quality(spark, docs, empty, monkeypatch):
     assert quality.judge(empty).count() == 0
 
 
-def test_clashing_hashes_are_told_apart(spark, monkeypatch):
-    frame = spark.createDataFrame([(1, "a b c d a b c e", "x"), (2, "q w e r t y", "x")], "doc_id long, text string, source string")
-    plain = [r["n_repeat_words"] for r in quality.judge(frame).orderBy("doc_id").collect()]
-    assert plain == [6, 0]
+def test_clashing_hashes_are_told_apart(docs, monkeypatch):
+    for bits in (43, 3):  # with 3 bits all but the shortest texts clash
+        monkeypatch.setattr(quality, "HASH_BITS", bits)
+        got = Counter((r["doc_id"], r["n_repeat_words"]) for r in quality.judge(docs).select("doc_id", "n_repeat_words").collect())
+        assert got == Counter((r[0], features(r[1])[4]) for r in ROWS)
 
 
 # -- shared ------------------------------------------------------------------------------------------------------------
