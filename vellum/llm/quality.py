@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import stage
 
-SPACES = " \t\n\u000b\f\r"
+SPACES = r"[\x20\x09-\x0D]+"
 SALTS = 16
+HASH_BITS = 43  # with 20 bits of position and the sign a long
 BROADCAST_LINES = 200_000
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VERDICT = ["base_failed", "n_line_words_removed", "kept"]
@@ -33,7 +34,7 @@ VERDICT = ["base_failed", "n_line_words_removed", "kept"]
 
 def words(text: Column) -> Column:
     """Maximal runs outside [\\x20\\x09-\\x0D]."""
-    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
 def _covered(starts: Column, size: int) -> Column:
@@ -46,15 +47,14 @@ def _covered(starts: Column, size: int) -> Column:
 def base_features(rows: DataFrame) -> DataFrame:
     """rows(text, ...) with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     t = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = rows.withColumn("_w", words(t)).withColumn("_lines", lines)
     out = out.withColumn("n_words", F.size("_w").cast("long"))
     grams = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
     out = out.withColumn("_h", F.when(F.col("n_words") >= 3, grams).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumn("_distinct", F.size(F.array_distinct("_h")))
 
-    bits = (1 << 43) - 1
-    short = F.transform("_h", lambda h: h.bitwiseAND(F.lit(bits)))
+    short = F.transform("_h", lambda h: h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     out = out.withColumn("_short", F.when(F.size("_h") > F.col("_distinct"), short))
     fits = (F.size("_h") < (1 << 20)) & (F.size(F.array_distinct("_short")) == F.col("_distinct"))
     sorted_longs = F.sort_array(F.transform("_short", lambda h, i: F.shiftleft(h, 20).bitwiseOR(i.cast("long"))))
@@ -76,16 +76,15 @@ def base_features(rows: DataFrame) -> DataFrame:
     return out.select(
         *rows.columns,
         "n_words",
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("_starts"), 3).cast("long").alias("n_repeat_words"),
     )
 
 
 def normal_line(line: Column) -> Column:
-    flat = F.lower(F.translate(line, SPACES + "123456789", " " * len(SPACES) + "0" * 9))
-    return F.trim(F.regexp_replace(flat, " +", " "))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, "[1-9]", "0"), SPACES, " ")))
 
 
 def _host() -> Column:
