@@ -8,7 +8,8 @@ host's template: the elements they open and close. What lies between is slots; a
 or main element holds it (where there is none: the body), and no element around it is a menu, a form, an advert
 and so on. The text of main slots is extracted in page order.
 
-Hot hosts: vectors and orders are pre-aggregated in each task, and pages meet their host's template under a salt.
+Hot hosts: vectors and orders are pre-aggregated in each task, and the pages of a host with over HOT of all pages (there are
+fewer than 1 / HOT such hosts) meet their template under as many salts as there are shuffle partitions.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; a host with a single page
 has a template of that page's tags; equal rows give equal texts; unclosed and stray tags, comments, scripts and text of any
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import ship, slices, stage
 
-SALTS = 16
+HOT = 0.01
 #: A class must occur on this share of its host's pages to belong to the template.
 SUPPORT = 0.1
 
@@ -187,12 +188,16 @@ def _order_rows(seen: set[tuple[str, int, str]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "class", "order"])
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _salt(hot: list[str], salts: int):
+    """The salt of a page, and all salts of a host."""
+    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
+    own = F.when(is_hot, F.pmod("page", F.lit(salts)).cast("int")).otherwise(0)
+    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return own.alias("salt"), every.alias("salt")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and template: a JSON list of its valid classes, each in its order. pages: host, page (a long), html."""
+def templates(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+    """host and template (a JSON list of its valid classes, each in its order), and the hot hosts. pages: host, page (a long), html."""
     tokens = stage(pages.select("host", "page", "html").mapInArrow(_sequences, "host string, page long, tokens string"), "tags")
     vectors = tokens.mapInArrow(_vectors, "host string, token string, pages long, total long, low long, high long")
     vectors = vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high")])
@@ -203,10 +208,12 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = classes.join(sizes, "host").where(F.col("pages") >= F.col("of") * SUPPORT)
     listed = classes.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("class"))).alias("classes"))
 
-    spread = tokens.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
-    orders = spread.join(_salted(listed), ["host", "salt"]).select("host", "tokens", "classes").mapInArrow(_orders, "host string, class int, order string")
+    total = tokens.count()
+    hot = [r["host"] for r in sizes.where(F.col("of") > HOT * total).collect()]  # fewer than 1 / HOT
+    own, every = _salt(hot, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    orders = tokens.select("*", own).join(listed.select("*", every), ["host", "salt"]).select("host", "tokens", "classes").mapInArrow(_orders, "host string, class int, order string")
     valid = orders.groupBy("host", "class").agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least = most and least <> ''")
-    return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.split("least", "\n")))).alias("template"))
+    return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.split("least", "\n")))).alias("template")), hot
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +235,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
     src = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
-    found = _salted(templates(src))
-    src = src.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
-    joined = src.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    found, hot = templates(src)
+    own, every = _salt(hot, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = src.select("*", own).join(found.select("*", every), ["host", "salt"], "left").select("page_id", "url", "html", "template")
     schema = joined.select("page_id", "url").withColumn("text", F.lit("")).schema
     return joined.mapInArrow(_extract, schema)
