@@ -344,6 +344,24 @@ def test_templates_are_valid_classes(spark):
     assert row["template"] == '[["body","div","/div","/body"],["p","/p"]]'
 
 
+def test_text_of_all_pages_is_template(spark):
+    """Boilerplate that no word list names, with and without an article, and on all pages but an odd one."""
+    body = '<html><body class="p{i}"><div class="masthead">Daily <b>news</b></div><div>{main}</div><div class="box1">More of us</div></body></html>'
+    main = "<{e}><h2>Summary</h2><p>Story {i} <b>Note:</b> x</p><p>Our usual line</p></{e}>"
+    make = lambda k, e, n: [(100 * k + i, f"http://{k}.example/{i}", body.format(i=i, main=main.format(e=e, i=i))) for i in range(n)]
+    rows = make(0, "section", 6) + make(1, "article", 6) + make(2, "section", 2)
+    rows += [*make(3, "section", 6), (399, "http://3.example/odd", "<h1>Not found</h1>")]
+    rows += [(400 + i, f"http://4.example/{i}", body.format(i=i, main=f"<article>Join us</article><p>Story {i}</p>")) for i in range(5)]
+    rows += [(500 + i, f"http://5.example/{i}", make(0, "section", 1)[0][2]) for i in range(5)]  # copies tell nothing
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Daily news Summary Story {} Note: x Our usual line More of us"
+    assert {k: v for k, v in got.items() if k < 200} == {100 * k + i: f"Story {i} Note: x" for k in (0, 1) for i in range(6)}
+    assert [got[200], got[201]] == [whole.format(0), whole.format(1)]
+    assert [got[300 + i] for i in range(6)] == [f"Story {i} Note: x" for i in range(6)] and got[399] == "Not found"
+    assert [got[400 + i] for i in range(5)] == [f"Story {i}" for i in range(5)]
+    assert {got[500 + i] for i in range(5)} == {whole.format(0)}
+
+
 # -- 9 -----------------------------------------------------------------------------------------------------------------
 
 

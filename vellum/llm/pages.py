@@ -1,18 +1,22 @@
 """Main text of web pages, by templates deduced from the pages of each host.
 
-A page is a sequence of tag tokens (name and class, an end tag named after the start tag it closes). Tokens of a host with
-the same occurrence vector - the same count on every page - form an equivalence class. A vector is compared by the
-sum over pages of a hash of (page, count), so that it is aggregated like any sum and no host's pages have to meet.
-A class is valid if its tokens keep one order, repeated as a whole, on every page. Valid classes nest into the
-host's template: the elements they open and close. What lies between is slots; a slot is main text if the template's article
-or main element holds it (where there is none: the body), and no element around it is a menu, a form, an advert
-and so on. The text of main slots is extracted in page order.
+A page is a sequence of tag tokens (name and class, an end tag named after the start tag it closes) and text tokens (a text
+between two block tags, with the names of the elements that hold it). Tokens of a host with the same occurrence vector - the
+same count on every distinct page - form an equivalence class. A vector is compared by the sum over pages of a hash of
+(page, count), so that it is aggregated like any sum and no host's pages have to meet. A class is valid if its tags keep one
+order, repeated as a whole, on every page. Valid classes nest into the host's template: the elements they open and close. What
+lies between is slots. A text token is part of the template, and no content of a slot, if it is on every page of the host
+or shares its class with tags of the template, and is on over half of the host's distinct pages, three at least. A slot is
+main text if its content varies, an article or main element holds it (where there is none, or only text of the template
+in it: the body), and no element around it is a menu, a form, an advert and so on. The text of main slots is extracted in
+page order.
 
 Hot hosts: vectors and orders are pre-aggregated in each task, and the pages of a host with over HOT of all pages (there are
 fewer than 1 / HOT such hosts) meet their template under as many salts as there are shuffle partitions.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; a host with a single page
-has a template of that page's tags; equal rows give equal texts; unclosed and stray tags, comments, scripts and text of any
+has a template of that page's tags; copies count as one page of a template; a host of fewer than three distinct pages has no text in its
+template; equal rows give equal texts; unclosed and stray tags, comments, scripts and text of any
 length are passed; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,6 +27,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +38,8 @@ from vellum.llm.common import ship, slices, stage
 HOT = 0.01
 #: A class must occur on this share of its host's pages to belong to the template.
 SUPPORT = 0.1
+#: A text must be on so many distinct pages, and on more than this share of them, to belong to the template.
+TEXT_PAGES, TEXT_SHARE = 3, 0.5
 
 OPAQUE = "script|style|noscript|template|textarea|iframe|svg|math|object"
 TAG = re.compile(
@@ -43,6 +50,8 @@ CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset(["article", "main"])
+#: Elements that are no part of a text's place: they may be left open, or out.
+LOOSE = INLINE | frozenset("html body p li dt dd thead tbody tfoot tr td th option".split())
 #: Elements, and words of a class or id, that are not main text.
 ASIDE = frozenset("head title nav footer aside form button select option label menu dialog figcaption datalist fieldset".split())
 ASIDE_WORDS = frozenset(
@@ -92,41 +101,59 @@ def walk(page: str) -> Iterator[tuple[int, int, str, str, int]]:
             yield m.start(), m.end(), "open", token, 0
 
 
-def tag_tokens(page: str) -> list[str]:
-    return [("/" if kind == "close" else "") + token for _, _, kind, token, _ in walk(page) if kind in ("open", "close")]
+def scan(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
+    """Kind ("open", "close", "text"), token, text and tokens of the main elements around it. Texts of asides are left out."""
+    stack: list[tuple[str, int]] = []  # token, and asides around it
+    held: list[str] = []
+    place: tuple[str, list[str]] = ("", [])
+    at = aside = 0
 
-
-def extract(page: str, template: set[str]) -> str:
-    """Text of the main slots of a page. template: tokens of its host's valid classes."""
-    main = {t for t in template if t.partition(".")[0] in MAIN and "/" + t in template}
-    tags = list(walk(page))
-    if not any(kind == "open" and token in main for _, _, kind, token, _ in tags):
-        main = {token for _, _, kind, token, _ in tags if kind == "open" and token.partition(".")[0] in MAIN}
-    out, at = [], 0
-    stack: list[tuple[int, int]] = []  # main elements and asides around each level
-    inside = aside = 0
-    for start, end, kind, token, ends in tags:
-        if start > at and not aside and (inside or not main):
-            out.append(entities.unescape(page[at:start]))
+    def block() -> Iterator[tuple[str, str, str, list[str]]]:
+        text = " ".join("".join(held).split())
+        held.clear()
+        if text:
+            yield "text", "=" + blake2b(f"{place[0]} {text}".encode("utf-8", "replace"), digest_size=8).hexdigest(), text, place[1]
+
+    for start, end, kind, token, ends in [*walk(page), (len(page), len(page), "end", "", 0)]:
+        if start > at and not aside:
+            if not held:
+                names = [t.partition(".")[0] for t, _ in stack]
+                place = "/".join(x for x in names if x not in LOOSE), [t for (t, _), x in zip(stack, names, strict=True) if x in MAIN]
+            held.append(entities.unescape(page[at:start]))
         at = end
+        if kind != "gone" and token.partition(".")[0] not in INLINE:
+            yield from block()
         if kind == "open":
-            stack.append((inside, aside))
-            aside += is_aside(token, inside > 0)
-            inside += token in main
+            stack.append((token, aside))
+            aside += is_aside(token, any(t.partition(".")[0] in MAIN for t, _ in stack[:-1]))
         elif kind == "close" and ends:
-            inside, aside = stack[-ends]
+            aside = stack[-ends][1]
             del stack[-ends:]
-        if kind != "gone" and token.partition(".")[0] not in INLINE:
-            out.append(" ")
-    if at < len(page) and not aside and (inside or not main):
-        out.append(entities.unescape(page[at:]))
-    return " ".join("".join(out).split())
+        if kind in ("open", "close"):
+            yield kind, token, "", []
+
+
+def page_tokens(page: str) -> list[str]:
+    return [("/" if kind == "close" else "") + token for kind, token, _, _ in scan(page)]
+
+
+def extract(page: str, template: set[str]) -> str:
+    """Text of the main slots of a page. template: tokens of its host's valid classes and the texts of its template."""
+    items = list(scan(page))
+    opened = {token for kind, token, _, _ in items if kind == "open" and token.partition(".")[0] in MAIN}
+    main = {t for t in opened if t in template and "/" + t in template} or opened
+    texts = [(token, text, not main.isdisjoint(around)) for kind, token, text, around in items if kind == "text"]
+    inside = [x for x in texts if x[2]] if main else texts
+    varying = [text for token, text, _ in inside if token not in template]
+    if inside and not varying:  # the article is part of the template: the page's own text is elsewhere
+        varying = [text for token, text, _ in texts if token not in template]
+    return " ".join(varying)
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "html"):
-        held = ["\n".join(tag_tokens(x or "")) for x in b.column("html").to_pylist()]
-        yield pa.record_batch([b.column("host"), b.column("page"), pa.array(held, pa.string())], names=["host", "page", "tokens"])
+        held = ["\n".join(page_tokens(x or "")) for x in b.column("html").to_pylist()]
+        yield pa.record_batch([b.column("host"), pa.array(held, pa.string())], names=["host", "tokens"])
 
 
 def _mix(x: int) -> int:
@@ -197,35 +224,50 @@ def _salt(hot: list[str], salts: int):
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, list[str]]:
-    """host and template (a JSON list of its valid classes, each in its order), and the hot hosts. pages: host, page (a long), html."""
-    tokens = stage(pages.select("host", "page", "html").mapInArrow(_sequences, "host string, page long, tokens string"), "tags")
+    """host, template (a JSON list of its valid classes' tags, each in its order) and texts (a JSON list of texts t that are on over half
+    of its pages, each with a tag of its class; none: on every page), and the hot hosts. pages: host, page (a long), html."""
+    read = pages.select("host", "html").mapInArrow(_sequences, "host string, tokens string").where("tokens <> ''")
+    tokens = stage(read.distinct().withColumn("page", F.xxhash64("tokens")), "tags")
     vectors = tokens.mapInArrow(_vectors, "host string, token string, pages long, total long, low long, high long")
     vectors = vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high")])
+    vectors = vectors.where(~F.col("token").startswith("=") | (F.col("pages") >= TEXT_PAGES))
     # sums of halves, joined again modulo 2**64 by their own remainders
     sig = F.pmod(F.col("high") + F.shiftrightunsigned("low", 32), F.lit(1 << 32)) * (1 << 20) + F.pmod("low", F.lit(1 << 20))
     sizes = tokens.groupBy("host").agg(F.count("*").alias("of"))
     classes = vectors.groupBy("host", "pages", "total", sig.alias("sig")).agg(F.sort_array(F.collect_list("token")).alias("class"))
-    classes = classes.join(sizes, "host").where(F.col("pages") >= F.col("of") * SUPPORT)
-    listed = classes.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("class"))).alias("classes"))
-
-    total = tokens.count()
-    hot = [r["host"] for r in sizes.where(F.col("of") > HOT * total).collect()]  # fewer than 1 / HOT
+    is_text = lambda x: x.startswith("=")
+    classes = classes.withColumn("of_text", F.filter("class", is_text)).withColumn("class", F.filter("class", lambda x: ~is_text(x)))
+    classes = stage(classes.join(sizes, "host"), "classes")
+    listed = classes.where((F.col("pages") >= F.col("of") * SUPPORT) & (F.size("class") > 0))
+    listed = listed.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("class"))).alias("classes"))
+
+    tag = F.when(F.col("pages") < F.col("of"), F.get("class", F.lit(0)))
+    texts = classes.where((F.col("pages") > F.col("of") * TEXT_SHARE) & ((F.size("class") > 0) | (F.col("pages") == F.col("of"))))
+    texts = texts.select("host", tag.alias("tag"), F.explode("of_text").alias("t"))
+    texts = texts.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("t", "tag")))).alias("texts"))
+
+    per_host = pages.groupBy("host").agg(F.count("*").alias("n"))
+    total = pages.count()
+    hot = [r["host"] for r in per_host.where(F.col("n") > HOT * total).collect()]  # fewer than 1 / HOT
     own, every = _salt(hot, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     orders = tokens.select("*", own).join(listed.select("*", every), ["host", "salt"]).select("host", "tokens", "classes").mapInArrow(_orders, "host string, class int, order string")
     valid = orders.groupBy("host", "class").agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least = most and least <> ''")
-    return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.split("least", "\n")))).alias("template")), hot
+    valid = valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.split("least", "\n")))).alias("template"))
+    return valid.join(texts, "host", "full"), hot
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, set[str]] = {}
+    known: dict[tuple[str | None, str | None], set[str]] = {}
     for b in slices(batches, "html"):
         out = []
-        for page, template in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
-            own = known.get(template or "[]")
+        for page, *key in zip(*(b.column(c).to_pylist() for c in ("html", "template", "texts")), strict=True):
+            own = known.get(tuple(key))
             if own is None:
                 if len(known) > 1000:
                     known.clear()
-                own = known[template or "[]"] = {t for c in json.loads(template or "[]") for t in c}
+                own = {t for c in json.loads(key[0] or "[]") for t in c}
+                own |= {x["t"] for x in json.loads(key[1] or "[]") if x.get("tag") is None or x["tag"] in own}
+                known[tuple(key)] = own
             out.append(extract(page or "", own))
         yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
@@ -237,6 +279,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     src = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
     found, hot = templates(src)
     own, every = _salt(hot, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = src.select("*", own).join(found.select("*", every), ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    joined = src.select("*", own).join(found.select("*", every), ["host", "salt"], "left").select("page_id", "url", "html", "template", "texts")
     schema = joined.select("page_id", "url").withColumn("text", F.lit("")).schema
     return joined.mapInArrow(_extract, schema)
