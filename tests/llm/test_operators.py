@@ -362,6 +362,24 @@ def test_text_of_all_pages_is_template(spark):
     assert {got[500 + i] for i in range(5)} == {whole.format(0)}
 
 
+def test_article_text_is_kept_whatever_its_classes():
+    got = lambda x: pages.extract(x, set())
+    for x in (
+        '<body class="no-sidebar"><article>a</article></body>',
+        '<body class="sidebar"><main class="with-sidebar">a</main></body>',
+        '<article class="post has-comments">a</article>',
+        '<article id="share" class="widget">a</article>',
+        '<div class="modal"><form><article>a</article></form></div>',
+        '<aside><article>no</article></aside><div>a</div>',
+        '<article>a</article><div class="related"><article>no</article></div>',
+        '<article>a<div class="share buttons">no</div><div role="menu">no</div></article><div id="comments">no</div>',
+        '<p><svg class="i"/>a</p><svg><text>no</text></svg>',
+    ):
+        assert got(x) == "a", x
+    assert got('<article><section id="discussion">a</section><h2 id="related-work">b</h2><p id="market-share" data-id="ad">c</p></article>') == "a b c"
+    assert got("<article>a<figure><figcaption>b</figcaption></figure><p>c <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == "a b c x = 1"
+
+
 # -- 9 -----------------------------------------------------------------------------------------------------------------
 
 

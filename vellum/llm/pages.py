@@ -41,19 +41,22 @@ SUPPORT = 0.1
 #: A text must be on so many distinct pages, and on more than this share of them, to belong to the template.
 TEXT_PAGES, TEXT_SHARE = 3, 0.5
 
-OPAQUE = "script|style|noscript|template|textarea|iframe|svg|math|object"
+OPAQUE = "script|style|noscript|template|textarea|iframe|svg|object"
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({OPAQUE})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*/>|<({OPAQUE})(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+CLASS = re.compile(r"(?<![\w\-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset(["article", "main"])
 #: Elements that are no part of a text's place: they may be left open, or out.
-LOOSE = INLINE | frozenset("html body p li dt dd thead tbody tfoot tr td th option".split())
-#: Elements, and words of a class or id, that are not main text.
-ASIDE = frozenset("head title nav footer aside form button select option label menu dialog figcaption datalist fieldset".split())
+FORMULA = frozenset("math semantics annotation mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup mover munder munderover mtable mtr mtd mstyle mpadded mphantom".split())
+LOOSE = INLINE | FORMULA | frozenset("html body p li dt dd thead tbody tfoot tr td th option".split())
+#: Elements, and names of a class, id or role, that are not main text.
+ASIDE = frozenset("head title nav footer aside form button select option label menu dialog datalist fieldset".split())
+#: Elements of these may be put around a whole page.
+WRAPPERS = frozenset(["form", "fieldset"])
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe "
     "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments reply replies respond discussion footer toolbar pagination pager login signup widget".split()
@@ -61,18 +64,46 @@ ASIDE_WORDS = frozenset(
 
 
 def label(name: str, attributes: str) -> str:
-    """A start tag's token: its name and the words of its class, id and role, digits left out."""
+    """A start tag's token: its name and the words of its class, id (with a #) and role, digits left out."""
     found = CLASS.findall(attributes) if attributes else None
     if not found:
         return name
-    return name + "." + " ".join(re.sub(r"\d+", "", x.strip("\"'").lower()) for x in found)
+    held = ((kind.lower() == "id", re.sub(r"\d+", "", x.strip("\"'").lower())) for kind, x in found)
+    return name + "." + " ".join("#" + x.strip() if is_id else x for is_id, x in held)
 
 
 def is_aside(token: str, inside_main: bool) -> bool:
+    """By element, or by a whole name of its class, role or - outside of main elements, where ids name sections - id."""
     name, _, words = token.partition(".")
     if name in ASIDE or name == "header" and not inside_main:
         return True
-    return bool(words) and not ASIDE_WORDS.isdisjoint(re.split(r"[\s_\-]+", words))
+    if not words or name in MAIN or name in ("html", "body"):
+        return False
+    return any(x.strip("#-_") in ASIDE_WORDS for x in words.split() if not (inside_main and x[0] == "#"))
+
+
+def asides(tags: list[tuple[int, int, str, str, int]]) -> set[int]:
+    """Places of the start tags of asides. Where all main elements are in asides, names of classes and wrappers around them do not count."""
+    found: set[int] = set()
+    stack: list[int] = []
+    around: list[list[int]] = []  # what holds each main element
+    inside = 0
+    for k, (_, _, kind, token, ends) in enumerate(tags):
+        if kind == "open":
+            if is_aside(token, inside > 0):
+                found.add(k)
+            if token.partition(".")[0] in MAIN:
+                if not inside:
+                    around.append(stack[:])
+                inside += 1
+            stack.append(k)
+        elif kind == "close" and ends:
+            inside -= sum(tags[x][3].partition(".")[0] in MAIN for x in stack[-ends:]) if inside else 0
+            del stack[-ends:]
+    if around and all(not found.isdisjoint(x) for x in around):
+        names = {k: tags[k][3].partition(".")[0] for x in around for k in x}
+        found -= {k for k, name in names.items() if name not in ASIDE or name in WRAPPERS}
+    return found
 
 
 def walk(page: str) -> Iterator[tuple[int, int, str, str, int]]:
@@ -102,7 +133,8 @@ def walk(page: str) -> Iterator[tuple[int, int, str, str, int]]:
 
 
 def scan(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
-    """Kind ("open", "close", "text"), token, text and tokens of the main elements around it. Texts of asides are left out."""
+    """Kind ("open", "close", "text"), token, text (of a tag: "aside" in one) and tokens of the main elements around it.
+    Texts of asides are left out."""
     stack: list[tuple[str, int]] = []  # token, and asides around it
     held: list[str] = []
     place: tuple[str, list[str]] = ("", [])
@@ -114,23 +146,29 @@ def scan(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
         if text:
             yield "text", "=" + blake2b(f"{place[0]} {text}".encode("utf-8", "replace"), digest_size=8).hexdigest(), text, place[1]
 
-    for start, end, kind, token, ends in [*walk(page), (len(page), len(page), "end", "", 0)]:
+    tags = list(walk(page))
+    off = asides(tags)
+    for k, (start, end, kind, token, ends) in enumerate([*tags, (len(page), len(page), "end", "", 0)]):
         if start > at and not aside:
             if not held:
                 names = [t.partition(".")[0] for t, _ in stack]
                 place = "/".join(x for x in names if x not in LOOSE), [t for (t, _), x in zip(stack, names, strict=True) if x in MAIN]
             held.append(entities.unescape(page[at:start]))
         at = end
-        if kind != "gone" and token.partition(".")[0] not in INLINE:
+        name = token.partition(".")[0]
+        if name in FORMULA:
+            if held:
+                held.append(" ")
+        elif kind != "gone" and name not in INLINE:
             yield from block()
         if kind == "open":
             stack.append((token, aside))
-            aside += is_aside(token, any(t.partition(".")[0] in MAIN for t, _ in stack[:-1]))
+            aside += k in off
         elif kind == "close" and ends:
             aside = stack[-ends][1]
             del stack[-ends:]
         if kind in ("open", "close"):
-            yield kind, token, "", []
+            yield kind, token, "aside" if aside else "", []
 
 
 def page_tokens(page: str) -> list[str]:
@@ -140,7 +178,7 @@ def page_tokens(page: str) -> list[str]:
 def extract(page: str, template: set[str]) -> str:
     """Text of the main slots of a page. template: tokens of its host's valid classes and the texts of its template."""
     items = list(scan(page))
-    opened = {token for kind, token, _, _ in items if kind == "open" and token.partition(".")[0] in MAIN}
+    opened = {token for kind, token, text, _ in items if kind == "open" and not text and token.partition(".")[0] in MAIN}
     main = {t for t in opened if t in template and "/" + t in template} or opened
     texts = [(token, text, not main.isdisjoint(around)) for kind, token, text, around in items if kind == "text"]
     inside = [x for x in texts if x[2]] if main else texts
