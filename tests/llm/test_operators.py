@@ -380,6 +380,13 @@ def test_article_text_is_kept_whatever_its_classes():
     assert got("<article>a<figure><figcaption>b</figcaption></figure><p>c <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == "a b c x = 1"
 
 
+def test_rare_articles_are_kept(spark):
+    page = '<body><article class="teaser">teaser {i}</article>{more}</body>'
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, more='<article class="story breaking">real text</article>' if i == 7 else "")) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"teaser {i}" + (" real text" if i == 7 else "") for i in range(40)}
+
+
 # -- 9 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import ship, slices, stage
 
 HOT = 0.01
-#: A class must occur on this share of its host's pages to belong to the template.
+#: A class of tags must occur on this share of its host's pages to belong to the template. It bounds a hot host's template; every article and
+#: main element of a page counts, in the template or not.
 SUPPORT = 0.1
 #: A text must be on so many distinct pages, and on more than this share of them, to belong to the template.
 TEXT_PAGES, TEXT_SHARE = 3, 0.5
@@ -178,8 +179,7 @@ def page_tokens(page: str) -> list[str]:
 def extract(page: str, template: set[str]) -> str:
     """Text of the main slots of a page. template: tokens of its host's valid classes and the texts of its template."""
     items = list(scan(page))
-    opened = {token for kind, token, text, _ in items if kind == "open" and not text and token.partition(".")[0] in MAIN}
-    main = {t for t in opened if t in template and "/" + t in template} or opened
+    main = {token for kind, token, text, _ in items if kind == "open" and not text and token.partition(".")[0] in MAIN}
     texts = [(token, text, not main.isdisjoint(around)) for kind, token, text, around in items if kind == "text"]
     inside = [x for x in texts if x[2]] if main else texts
     varying = [text for token, text, _ in inside if token not in template]
