@@ -82,3 +82,10 @@ def test_unique_ignores_nulls_and_checks_pass_unknowns(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, 5), (4, 5)], "k int, u int")
     assert [tuple(r) for r in constraints.unique_violations(df, ["u"]).collect()] == [(5, 2)]
     assert constraints.check_violations(df, "u > 5").count() == 2
+
+
+@pytest.mark.parametrize(("name", "source"), [("secondary_order_desc_all", "orders"), ("order_multi_all", "part"), ("enum_order_all", "orders"), ("null_order_all", "orders")])
+def test_whole_tables_are_ordered(spark, db, name, source):
+    got = [tuple(r) for r in suite.QUERIES[name](spark, SF).collect()]
+    assert got == db.sql(suite.ORACLES[name]).fetchall()
+    assert [(len(got),)] == db.sql(f"SELECT count(*) FROM {source}").fetchall()

@@ -176,6 +176,15 @@ sql(
     "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY list_position(['P', 'O', 'F'], o_orderstatus), o_orderkey LIMIT 60",
 )
 sql("null_order", "SELECT s, k FROM (SELECT nullif(o_orderstatus, 'O') AS s, o_orderkey AS k FROM {orders}) t ORDER BY s NULLS FIRST, k LIMIT 80")
+# the same orders over whole tables
+sql("secondary_order_desc_all", "SELECT o_custkey, o_orderkey FROM {orders} ORDER BY o_custkey DESC, o_orderkey DESC")
+sql("order_multi_all", "SELECT p_partkey, p_brand, p_size FROM {part} ORDER BY p_brand, p_size DESC, p_partkey")
+sql(
+    "enum_order_all",
+    "SELECT o_orderkey, o_orderstatus FROM {orders} ORDER BY array_position(array('P', 'O', 'F'), o_orderstatus), o_orderkey",
+    "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY list_position(['P', 'O', 'F'], o_orderstatus), o_orderkey",
+)
+sql("null_order_all", "SELECT s, k FROM (SELECT nullif(o_orderstatus, 'O') AS s, o_orderkey AS k FROM {orders}) t ORDER BY s NULLS FIRST, k")
 
 # -- set operations ----------------------------------------------------------------------------------------------------
 
