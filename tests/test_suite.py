@@ -89,3 +89,12 @@ def test_whole_tables_are_ordered(spark, db, name, source):
     got = [tuple(r) for r in suite.QUERIES[name](spark, SF).collect()]
     assert got == db.sql(suite.ORACLES[name]).fetchall()
     assert [(len(got),)] == db.sql(f"SELECT count(*) FROM {source}").fetchall()
+
+
+def test_whole_tables_are_joined_ranked_and_computed(spark, db):
+    rows = lambda t: db.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0]
+    joined = suite.QUERIES["join_full_all"](spark, SF).collect()
+    left, right = ([r[c] for r in joined if r[c] is not None] for c in ("p_partkey", "c_custkey"))
+    assert len(left) == rows("part") < len(joined) and len(right) == rows("customer") < len(joined)
+    assert suite.QUERIES["win_distribution_all"](spark, SF).count() == rows("part")
+    assert suite.QUERIES["decimal_arith_all"](spark, SF).count() == rows("lineitem")

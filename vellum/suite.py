@@ -103,6 +103,7 @@ sql("join_inner", "SELECT l_orderkey, l_linenumber, s_name FROM {lineitem} JOIN
 sql("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 sql("join_right", "SELECT d.doc_id AS doc_id, l.quality AS quality FROM {labels} l RIGHT JOIN {documents} d ON d.doc_id = l.doc_id")
 sql("join_full", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT o_orderkey FROM {orders} WHERE o_orderkey % 3 = 0) a FULL JOIN (SELECT o_orderkey FROM {orders} WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey")
+sql("join_full_all", "SELECT p_partkey, c_custkey FROM {part} FULL JOIN {customer} ON c_custkey = 2 * p_partkey")
 sql("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 sql("join_semi", "SELECT c_custkey FROM {customer} LEFT SEMI JOIN {orders} ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
 sql("join_anti", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
@@ -160,6 +161,10 @@ sql(
     "win_distribution",
     "SELECT p_partkey, CAST(round(percent_rank() OVER (ORDER BY p_partkey) * 1000000) AS BIGINT) AS pr, CAST(round(cume_dist() OVER (ORDER BY p_partkey) * 1000000) AS BIGINT) AS cd FROM (SELECT p_partkey FROM {part} WHERE p_size = 7) t",
 )
+sql(
+    "win_distribution_all",
+    "SELECT p_partkey, CAST(round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_partkey) * 1000000) AS BIGINT) AS pr, CAST(round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_partkey) * 1000000) AS BIGINT) AS cd FROM {part}",
+)
 
 # -- order and limit ---------------------------------------------------------------------------------------------------
 
@@ -223,6 +228,10 @@ sql(
     "decimal_arith",
     "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS DECIMAL(10,2)) * CAST(l_tax AS DECIMAL(10,3)) AS DECIMAL(21,5)) AS prod, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) - CAST(l_discount AS DECIMAL(12,2)) AS DECIMAL(13,2)) AS diff FROM {lineitem} WHERE l_orderkey % 5 = 0",
 )
+sql(
+    "decimal_arith_all",
+    "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS DECIMAL(10,2)) * CAST(l_tax AS DECIMAL(10,3)) AS DECIMAL(21,5)) AS prod, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) - CAST(l_discount AS DECIMAL(12,2)) AS DECIMAL(13,2)) AS diff FROM {lineitem}",
+)
 sql("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'F'), 'none') AS s FROM {orders}")
 sql(
     "regexp_funcs",
