@@ -47,3 +47,47 @@ def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 100
     spark.read.parquet(f"{SF}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by_name, words = dict(corpus_pipeline.STAGES), lambda r: WORDS.findall(r["text"] or "")
+
+    rows = docs.collect()
+    norm = lambda x: re.sub("[1-9]", "0", " ".join(WORDS.findall(x))).lower()
+    lines = lambda r: [x for x in (r["text"] or "").split("\n") if WORDS.findall(x)]
+    seen = Counter((s, x) for s, t in {(r["source"], r["text"]) for r in rows} for x in {norm(y) for y in (t or "").split("\n") if WORDS.findall(y)})
+    hosts = Counter(s for s, _ in {(r["source"], r["text"]) for r in rows})
+    want = []
+    for r in rows:
+        w = words(r)
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+        gone = sum(len(WORDS.findall(x)) for x in lines(r) if seen[r["source"], norm(x)] > max(20, 0.02 * hosts[r["source"]]))
+        if len(w) >= 50 and 2 * len(covered) <= len(w) and len(w) - gone >= 0.5 * len(w):
+            want.append(tuple(r))
+    kept = by_name["quality_rules"](spark, docs, SF)
+    rows = kept.collect()
+    assert Counter(map(tuple, rows)) == Counter(want)
+
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in rows for w in [words(r)]]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if rows[a]["text"] == rows[b]["text"] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[b] if x == root[a] else x for x in root]
+    least = {c: min(r["doc_id"] for r, x in zip(rows, root, strict=True) if x == c) for c in root}
+    one = by_name["near_duplicates"](spark, kept, SF)
+    want = [tuple(r) for r, x in zip(rows, root, strict=True) if r["doc_id"] == least[x]]
+    rows = one.collect()
+    assert Counter(map(tuple, rows)) == Counter(want)
+
+    count = Counter(tuple(w[i : i + 35]) for r in rows for w in [words(r)] for i in range(len(w) - 34))
+    want = {}
+    for r in rows:
+        w = words(r)
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[r["doc_id"]] = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else r["text"]
+    cut = by_name["substring_dedup"](spark, one, SF).collect()
+    assert {r["doc_id"]: r["text"] for r in cut} == want and len(cut) == len(want)
