@@ -441,28 +441,42 @@ def features(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def judged_by_hand(rows, min_words, min_docs, by_text=True):
+    """doc_id, features, base_failed, words of removed lines, kept and the text left of each row."""
+    norm = lambda x: re.sub("[1-9]", "0", " ".join(words(x))).lower()
+    seen, hosts = defaultdict(set), defaultdict(set)
+    for i, r in enumerate(rows):
+        one = r[1] if by_text else i
+        hosts[r[3]].add(one)
+        for x in (r[1] or "").split("\n"):
+            if words(x):
+                seen[r[3], norm(x)].add(one)
+    out = []
+    for r in rows:
+        f = features(r[1])
+        is_gone = lambda x, r=r: bool(words(x)) and len(seen[r[3], norm(x)]) > max(min_docs, 0.02 * len(hosts[r[3]]))
+        lines = (r[1] or "").split("\n")
+        gone = sum(len(words(x)) for x in lines if is_gone(x))
+        failed = f[0] < min_words or 100 * f[4] > 50 * f[0]
+        text = None if r[1] is None else "\n".join(x for x in lines if not is_gone(x))
+        out.append((r[0], *f, failed, gone, not failed and f[0] - gone >= 0.5 * f[0], text))
+    return out
+
+
 def test_quality(spark, docs, empty, monkeypatch):
-    more = [(1000 + i, f"{'Seen line %d here' % (i % 2)}\n" + " ".join(f"w{i}x{j}" for j in range(60 if i < 20 else 3)), "en", "hot", 0) for i in range(40)]
+    more = [(1000 + i, f"{'Seen line %d here' % (i % 2)}\n\n" + " ".join(f"w{i}x{j}" for j in range(60 if i < 20 else 3)) + "\n seen  LINE 7 here ", "en", "hot", 0) for i in range(40)]
+    more += [(2000 + i, "Seen line 1 here\nseen line 2 here", "en", "hot", 0) for i in range(2)]
     frame = docs.unionByName(spark.createDataFrame(more, SCHEMA)).withColumn("kept", F.lit("mine"))
     rows = [*ROWS, *more]
-    norm = lambda x: re.sub("[1-9]", "0", " ".join(words(x))).lower()
-    for limit, bound in ((10, 200_000), (10, -1), (100, 200_000)):  # the two ways to join, and no frequent line
+    # the two ways to join, no frequent line, and copies counted each
+    for limit, bound, once in ((10, 200_000, True), (10, -1, True), (100, 200_000, True), (2, 200_000, False)):
         monkeypatch.setattr(quality, "BROADCAST_LINES", bound)
-        seen, hosts = defaultdict(set), defaultdict(set)
-        for r in rows:
-            hosts[r[3]].add(r[1])
-            for x in (r[1] or "").split("\n"):
-                if words(x):
-                    seen[r[3], norm(x)].add(r[1])
-        want = Counter()
-        for r in rows:
-            f = features(r[1])
-            gone = sum(len(words(x)) for x in (r[1] or "").split("\n") if len(seen[r[3], norm(x)]) > max(limit, 0.02 * len(hosts[r[3]])))
-            failed = f[0] < 5 or 100 * f[4] > 50 * f[0]
-            want[(r[0], *f, failed, gone, not failed and f[0] - gone >= 0.5 * f[0])] += 1
-        got = quality.judge(frame, min_words=5, min_docs=limit)
+        want = Counter(judged_by_hand(rows, 5, limit, once))
+        got = quality.judge(frame, min_words=5, min_docs=limit, copies_count_once=once)
         assert got.columns == [*docs.columns, *quality.FEATURES, *quality.VERDICT]
         assert Counter(tuple(r) for r in got.select("doc_id", *quality.FEATURES, *quality.VERDICT).collect()) == want
+    cleaned = {w[0]: w[-1] for w in judged_by_hand(rows, 5, 10)}
+    assert cleaned[1000].startswith("\nw0x0 ") and cleaned[1000].endswith("x59") and cleaned[2000] == "" and cleaned[7] == ROWS[7][1]
     assert quality.judge(empty).count() == 0
 
 

@@ -65,17 +65,19 @@ QUALITY = f"""
 WITH d AS (SELECT doc_id, source, text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 t AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) x),
 rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM t JOIN (SELECT doc_id, g FROM t GROUP BY 1, 2 HAVING count(*) > 1) x USING (doc_id, g)) y GROUP BY doc_id),
-l AS (SELECT doc_id, source, text, unnest(ls) AS line FROM d),
-m AS (SELECT doc_id, source, text, len({_WORDS.replace("text", "line")}) AS n, trim(regexp_replace(translate(lower(translate(line, '123456789', '000000000')), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' +', ' ', 'g')) AS line FROM l),
+l AS (SELECT doc_id, source, text, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+m AS (SELECT doc_id, source, text, pos, line AS own, len({_WORDS.replace("text", "line")}) AS n, trim(regexp_replace(translate(lower(translate(line, '123456789', '000000000')), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' +', ' ', 'g')) AS line FROM l),
 h AS (SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY source),
 f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM m WHERE n > 0 GROUP BY 1, 2) x JOIN h USING (source) WHERE n > 20 AND n > docs * 0.02),
 gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM m SEMI JOIN f USING (source, line) WHERE n > 0 GROUP BY doc_id),
+stay AS (SELECT doc_id, string_agg(own, chr(10) ORDER BY pos) AS t FROM m LEFT JOIN (SELECT source, line, 1 AS hit FROM f) y USING (source, line) WHERE n = 0 OR hit IS NULL GROUP BY doc_id),
 b AS (
     SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
         len(list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
-        coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_line_words_removed
-    FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+        coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_line_words_removed,
+        sha256(coalesce(stay.t, '')) AS cleaned_sha256
+    FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN stay USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND n_words - n_line_words_removed >= 0.5 * n_words AS kept FROM v
 """

@@ -1,18 +1,20 @@
 """Quality rules with cross-document line frequency, with expressions only.
 
 Base rules look at one document. The method's rule looks at all: a line's normal form (trimmed, lower case, digits as 0,
-white space as one space) is hashed, the distinct documents (by text, so copies of a document count once) that hold it
-are counted per host, and lines held by more than ``max(min_docs, share * documents of the host)`` are removed. A
-document that is left with less than ``keep_share`` of its words by this is depleted and rejected.
+white space as one space) is hashed, the distinct documents that hold it are counted per host, and lines held by more than
+``max(min_docs, share * documents of the host)`` are removed: ``cleaned_text`` is the text without them. A document that
+is left with less than ``keep_share`` of its words by this is depleted and rejected. Copies of a text count once
+(``copies_count_once``), or else a text that was copied often enough would lose all of its lines.
 
 Rows of one frequent line never meet in one task: counts are pre-aggregated in each task. A host has fewer than
-(lines a document) / share frequent lines, so their list is short; it is broadcast up to BROADCAST_LINES lines in all,
-and joined to the documents' lines under a salt beyond that.
+(lines a document) / share frequent lines, so their list is short; up to BROADCAST_LINES lines in all it is broadcast and
+intersected with a document's lines by hash, and joined to the documents' lines under a salt beyond that.
 
 Windows of three words are hashed to 64 bits and sorted with their position in one long (43 bits of hash, 20 of
 position); documents with more windows, or whose 43 bits clash where 64 do not, are sorted as pairs instead.
 
-Defined cases: a null text has no words (base_failed); a null source is a host of its own; rows of equal doc_id, source
+Defined cases: a null text has no words (base_failed) and stays null in cleaned_text; a text without a frequent line is its
+own cleaned_text; a null source is a host of its own; rows of equal doc_id, source
 and text are judged alike, so all kept or all rejected; an empty table stays empty; extra columns are carried along,
 those named like a result column are replaced.
 """
@@ -29,7 +31,7 @@ SALTS = 16
 HASH_BITS = 43  # with 20 bits of position and the sign a long
 BROADCAST_LINES = 200_000
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-VERDICT = ["base_failed", "n_line_words_removed", "kept"]
+VERDICT = ["base_failed", "n_line_words_removed", "kept", "cleaned_text"]
 
 
 def words(text: Column) -> Column:
@@ -91,35 +93,45 @@ def _host() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
-def _lines() -> Column:
-    """Hash and number of words of each line with a word."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("words")))
-    return F.filter(lines, lambda x: x["words"] > 0)
+def _line_hashes() -> Column:
+    """Hashes of the distinct lines with a word."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(normal_line(x))))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.02) -> DataFrame:
-    """_host and _line of lines above the limit, by distinct documents of the host."""
-    lines = docs.select(_host().alias("_host"), F.xxhash64("text").alias("_text"), F.explode(F.array_distinct(F.transform(_lines(), lambda x: x["line"]))).alias("_line"))
-    counted = lines.distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > min_docs)
-    texts = docs.select(_host().alias("_host"), F.xxhash64("text").alias("_text")).distinct()
+def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.02, copies_count_once: bool = True) -> DataFrame:
+    """_host and _line of lines above the limit. copies_count_once: documents of a host with one text are one document."""
+    texts = docs.select(_host().alias("_host"), "text")
+    if copies_count_once:
+        own = [F.xxhash64("text").alias("_text"), F.xxhash64(F.lit(11), "text").alias("_text2")]
+        lines = texts.select("_host", *own, F.explode(_line_hashes()).alias("_line")).distinct()
+        texts = texts.select("_host", *own).distinct()
+    else:
+        lines = texts.select("_host", F.explode(_line_hashes()).alias("_line"))
+    counted = lines.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > min_docs)
     hosts = texts.groupBy("_host").agg(F.count("*").alias("_docs"))
     return counted.join(hosts, "_host").where(F.col("_n") > F.col("_docs") * share).select("_host", "_line")
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.02, keep_share: float = 0.5) -> DataFrame:
-    """docs with the base features, base_failed, n_line_words_removed and kept."""
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.02, keep_share: float = 0.5, copies_count_once: bool = True) -> DataFrame:
+    """docs with the base features, base_failed, n_line_words_removed, kept and cleaned_text."""
     docs = docs.drop(*FEATURES, *VERDICT)
     columns = docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), "doc_id", "source", "text").withColumn("_host", _host())
-    frequent = stage(frequent_lines(docs, min_docs, share), "lines")
+    frequent = stage(frequent_lines(docs, min_docs, share, copies_count_once), "lines")
     if frequent.count() <= BROADCAST_LINES:
         by_host = F.broadcast(frequent.groupBy("_host").agg(F.collect_list("_line").alias("_frequent")))
-        rows = rows.join(by_host, "_host", "left")
-        gone = F.filter(_lines(), lambda x: F.array_contains("_frequent", x["line"]))
-        gone = F.aggregate(gone, F.lit(0), lambda acc, x: acc + x["words"])
-        rows = rows.withColumn("_removed", F.when(F.col("_frequent").isNotNull(), gone).otherwise(0))
+        hit = F.when(F.col("_frequent").isNotNull(), F.array_intersect(_line_hashes(), "_frequent"))
+        rows = rows.join(by_host, "_host", "left").withColumn("_hit", hit)
     else:
-        rows = _removed_by_join(rows, frequent)
+        rows = _hits_by_join(rows, frequent)
+    rows = rows.withColumn("_hit", F.when(F.size("_hit") > 0, F.col("_hit")))
+    gone = lambda x: F.array_contains("_hit", F.xxhash64(normal_line(x)))
+    split = F.split("text", "\n")
+    lost = F.aggregate(F.filter(split, gone), F.lit(0), lambda acc, x: acc + F.size(words(x)))
+    left_over = F.array_join(F.filter(split, lambda x: ~gone(x)), "\n")
+    rows = rows.withColumn("_removed", F.when(F.col("_hit").isNotNull(), lost).otherwise(0))
+    rows = rows.withColumn("_cleaned", F.when(F.col("_hit").isNotNull(), left_over).otherwise(F.col("text")))
     out = base_features(rows)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("_removed")
@@ -128,19 +140,18 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, mi
         failed.alias("base_failed"),
         F.col("_removed").cast("long").alias("n_line_words_removed"),
         (~failed & (left >= keep_share * F.col("n_words"))).alias("kept"),
+        F.col("_cleaned").alias("cleaned_text"),
     )
     # a generator keeps a filter on the verdict from being pushed down, which would copy the expressions many times over
     out = out.select("_row", F.explode(F.array(verdict)).alias("_v"))
     return out.select(*[F.col("_row").getField(c).alias(c) for c in columns], "_v.*")
 
 
-def _removed_by_join(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """rows with _removed, by a salted join of the documents' lines with the frequent ones."""
-    rows = rows.withColumn("_doc", F.xxhash64("doc_id", "source", "text"))
-    lines = rows.select("_doc", "_host", F.explode(_lines()).alias("_l")).select("_doc", "_host", F.col("_l.line").alias("_line"), F.col("_l.words").alias("_words"))
-    lines = lines.withColumn("_salt", F.pmod("_doc", F.lit(SALTS)).cast("int"))
+def _hits_by_join(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """rows with _hit, a document's frequent lines, by a salted join of the documents' lines with the frequent ones."""
+    key = ["_doc", "_doc2"]
+    rows = rows.withColumn("_doc", F.xxhash64("doc_id", "source", "text")).withColumn("_doc2", F.xxhash64(F.lit(11), "text", "doc_id"))
+    lines = rows.select(*key, "_host", F.explode(_line_hashes()).alias("_line")).withColumn("_salt", F.pmod("_doc", F.lit(SALTS)).cast("int"))
     salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sums = lines.join(salted, ["_host", "_line", "_salt"]).groupBy("_doc").agg(F.sum("_words").alias("_sum"))
-    copies = rows.groupBy("_doc").agg(F.count("*").alias("_copies"))  # rows alike share a sum over all of them
-    removed = sums.join(copies, "_doc").select("_doc", F.expr("_sum div _copies").alias("_removed"))
-    return rows.join(removed, "_doc", "left").withColumn("_removed", F.coalesce("_removed", F.lit(0))).drop("_doc")
+    hits = lines.join(salted, ["_host", "_line", "_salt"]).groupBy(*key).agg(F.collect_set("_line").alias("_hit"))
+    return rows.join(hits, key, "left").drop(*key)

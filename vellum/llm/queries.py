@@ -54,7 +54,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return judged.select("doc_id", *quality.FEATURES, *quality.VERDICT)
+    cleaned = F.sha2(F.coalesce("cleaned_text", F.lit("")).cast("binary"), 256).alias("cleaned_sha256")
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "n_line_words_removed", "kept", cleaned)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
