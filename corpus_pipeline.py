@@ -16,8 +16,11 @@ from vellum.llm.common import read, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line-frequency rule keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Documents that the base rules and the line-frequency rule keep, without the lines that are frequent at their host."""
+    kept = quality.judge(docs).where("kept")
+    cut = F.col("n_line_words_removed") > 0
+    n_chars = F.when(cut, F.length("cleaned_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).withColumn("text", F.col("cleaned_text")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
