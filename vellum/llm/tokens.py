@@ -3,7 +3,8 @@
 Both vocabularies tokenise a text piecewise at a single space between two characters that are no white space: the
 byte-level one starts a piece there (the space belongs to the piece), the word-level one drops the space. So a batch
 is cut at such spaces, each distinct chunk is encoded once by the tokenizers library, and the ids of the texts
-are gathered from the chunks' ids. A text with any other spacing is encoded whole by the same library.
+are gathered from the chunks' ids. A text with any other spacing, or one that spells a special token (which the library then
+takes for one, and for which it cuts the text around it), is encoded whole by the same library.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -148,11 +150,8 @@ class ChunkMemo:
         return found
 
 
-def chunked(texts: pa.Array, memo: ChunkMemo, whole=None) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and row offsets. whole encodes texts of other spacing; None: any text may be cut at any space."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    odd = np.zeros(len(texts), bool) if whole is None else pc.match_substring_regex(texts, ODD_SPACING).to_numpy(zero_copy_only=False)
+def chunked(texts: pa.Array, memo: ChunkMemo, odd: np.ndarray, whole) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and row offsets. odd: texts that cannot be cut at spaces, which whole encodes."""
     counts = np.zeros(len(texts), np.int64)
     regular = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
     pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -200,14 +199,24 @@ def fill(out: np.ndarray, starts: np.ndarray, values: np.ndarray, lengths: np.nd
 
 
 class _Library:
-    """The tokenizers library, without special tokens; strings of special tokens in a text are ordinary text."""
+    """The tokenizers library as it is by default, but for add_special_tokens=False."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # in any case, so that no normalised form is missed
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "(?i)" + "|".join(added) if added else None
+
+    def odd(self, texts: pa.Array, spacing: str | None = None) -> np.ndarray:
+        """Texts that spell an added token, or match a pattern of odd spacing."""
+        out = np.zeros(len(texts), bool)
+        for pattern in (self.special, spacing):
+            if pattern:
+                out |= pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+        return out
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, lengths = [], np.empty(len(texts), np.int64)
@@ -245,7 +254,8 @@ class ByteLevel(_Library):
         return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return chunked(texts, self.memo, self.each)
+        texts = texts.fill_null("") if texts.null_count else texts
+        return chunked(texts, self.memo, self.odd(texts, ODD_SPACING), self.each)
 
 
 class WordLevel(_Library):
@@ -275,8 +285,11 @@ class WordLevel(_Library):
         return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        # the vocabulary is in lower case, so texts that differ in A to Z alone share their chunks
-        return chunked(pc.ascii_lower(texts), self.memo)
+        texts = texts.fill_null("") if texts.null_count else texts
+        odd = self.odd(texts)
+        # the vocabulary is in lower case, so texts that differ in A to Z alone share their chunks; special tokens are as written
+        lower = pc.ascii_lower(texts)
+        return chunked(pc.if_else(pa.array(odd), texts, lower) if odd.any() else lower, self.memo, odd, self.each)
 
 
 _LOADED: dict[tuple[type, str], _Library] = {}
