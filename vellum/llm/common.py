@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -24,9 +25,11 @@ _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset, and all runs on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "vellum-work")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -46,6 +49,28 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """Spark's own estimate; of a table just staged, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", least: int = 10_000) -> DataFrame:
+    """left join right, where one key may hold most of left's rows. right has a row a key.
+
+    weight: the column of right that says how many rows of left its key has (it is dropped); total: rows of left. Keys with more than
+    least rows and more than a partition's share (there are no more of them than partitions) are broadcast, so their rows stay
+    where they are; all others are joined by a shuffle.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(least, total // parts)
+    heavy = F.broadcast(right.where(F.col(weight) > limit).drop(weight))
+    if total <= limit:
+        return left.join(right.drop(weight), keys, how)
+    marks = F.broadcast(right.where(F.col(weight) > limit).select(*keys))
+    light = left.join(marks, keys, "left_anti").join(right.where(F.col(weight) <= limit).drop(weight), keys, how)
+    return left.join(heavy, keys).unionByName(light)
+
+
 def clean_work(spark: SparkSession) -> None:
     """Removes the tables that stage has left in the shared folder; DataFrames that read them end with this."""
     jvm, root = spark.sparkContext._jvm, work_root(spark)

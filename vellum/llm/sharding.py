@@ -18,10 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stage
+from vellum.llm.common import size_in_bytes, stage
 
 #: Partitions up to which the matrix (a few longs a partition) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_PARTITIONS = 50_000
+#: Bytes of the staged rows that one task of the exchange sorts; buckets whose sizes are broadcast (three numbers each).
+PARTITION_BYTES, BROADCAST_BUCKETS = 64 << 20, 1_000_000
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -74,7 +76,9 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 17, buckets:
     limits = F.broadcast(limits) if len(rows) <= BROADCAST_PARTITIONS else limits
     key = F.xxhash64(F.lit(seed), F.col("_part"), F.col("_rank"))
     total = sum(n for _, n in counts)
-    buckets = buckets or max(1, min(4096, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) * 4 // shards), total // 64))
+    # buckets of some MB, whatever the size of the table, in as many partitions as that takes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_in_bytes(held) // PARTITION_BYTES)
+    buckets = buckets or max(1, min(-(-4 * parts // shards), total // 64))
     sent = held.join(limits, "_part").select(
         "_row",
         F.size(F.filter("_limits", lambda x: x <= F.col("_rank"))).alias("shard"),
@@ -82,9 +86,10 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 17, buckets:
         F.struct("_part", "_rank").alias("_tie"),
     ).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_key", 20), F.lit(buckets)).cast("int"))
 
-    sizes = sent.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # shards x buckets rows, a fixed number
+    sizes = sent.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # shards x buckets rows
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = F.broadcast(sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    bases = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = F.broadcast(bases) if shards * buckets <= BROADCAST_BUCKETS else bases
     inside = Window.partitionBy("shard", "_bucket").orderBy("_key", "_tie")
-    placed = sent.withColumn("_slot", F.row_number().over(inside)).join(bases, ["shard", "_bucket"])
+    placed = sent.repartition(parts, "shard", "_bucket").withColumn("_slot", F.row_number().over(inside)).join(bases, ["shard", "_bucket"])
     return placed.select(*[F.col("_row").getField(c).alias(c) for c in columns], "shard", (F.col("_base") + F.col("_slot") - 1).alias("slot"))
