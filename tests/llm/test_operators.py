@@ -271,17 +271,28 @@ def test_jaccard(docs, empty, monkeypatch):
     links = Counter(x for p in pairs for x in p)
     least = {x: min(min(texts[y]) for y in texts if root[y] == root[x]) for x in texts}
     want = sorted((r[0], least[x], min(texts[x]), len(texts[x]), links[x]) for r in rows for x in [r[1] or ""])
-    for block in (512, 2):
+    for block, whole in ((512, None), (2, None), (2, 0), (512, 0)):  # whole groups, and bucket by bucket
         monkeypatch.setattr(jaccard, "BLOCK_TEXTS", block)
-        got = jaccard.join(frame, 5, 0.8)
+        got = jaccard.join(frame, 5, 0.8, whole_blocks=whole)
         assert sorted(tuple(r)[:5] for r in got.collect()) == want
     kept = jaccard.keep_one(docs).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({w[1] for w in want} - ({0} if any(r["text"] is None and r["doc_id"] is None for r in kept) else set()))
     assert jaccard.join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_texts_of_one_doc_id_are_kept(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = b.replace("b30", "x")
+    rows = [(5, a), (5, b), (3, b), (5, near), (5, a), (None, a + " z"), (7, None), (None, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1))).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got if r["doc_id"] is not None) == [(3, b), (5, a), (7, "")] and len(got) == 3
+    links = Counter(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_copies", "n_links").collect())
+    assert links[5, 5, 2, 1] == 2 and links[5, 3, 2, 1] == 1 and links[5, 3, 1, 1] == 1 and links[None, 5, 1, 1] == 1
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.plan_bands(0.8, 0.999)
+    assert (bands, rows) == (38, 8) and jaccard.plan_bands(0.5, 0.95) == (47, 4)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
     a, b = jaccard._coefficients(bands * rows)
     rng, found = np.random.default_rng(3), 0
@@ -301,7 +312,7 @@ def test_common_counts():
     assert (jaccard.common_counts(sets[:4], sets[4:]) == [r[4:] for r in want[:4]]).all()
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
     root = {x: x for e in edges for x in e}
@@ -309,8 +320,10 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     want = {x: r for x, r in root.items() if any(a != b and x in (a, b) for a, b in edges)}
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r["node"]: r["component"] for r in got.collect()} == want and got.count() == len(want)
+    for limit in (components.LIMIT, 2):  # the edges of hubs, joined by a shuffle and by a broadcast
+        monkeypatch.setattr(components, "LIMIT", limit)
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r["node"]: r["component"] for r in got.collect()} == want and got.count() == len(want)
 
 
 # -- 6 -----------------------------------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Connected components of an edge list, by alternating large-star and small-star rounds.
 
-Each round is two aggregations and two joins over edges; rounds are cut by tables in the shared folder, and nothing but a
-count of changes reaches the driver. The edges shrink to stars in a logarithmic number of rounds in practice.
+Each round is two aggregations and two joins over edges; rounds are cut by tables in the shared folder, and nothing but
+counts reaches the driver. The edges shrink to stars in a logarithmic number of rounds in practice. The edges of a hub
+(a node with more edges than a partition's share) are not brought together: what they are joined with is broadcast.
 """
 
 from __future__ import annotations
@@ -9,20 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stage
+from vellum.llm.common import join_split, stage
 
+#: Edges that one task may hold of one node.
+LIMIT = 200
 
-def _star(edges: DataFrame) -> DataFrame:
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Least neighbour and number of neighbours of each a; counted up in each task first."""
+    return stage(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _star(edges: DataFrame, count: int) -> DataFrame:
     """Points each neighbour above a node, and the node itself, at the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = _least(both).select("a", F.least("a", "m").alias("m"), "n")
+    met = join_split(both, least, ["a"], "n", 2 * count, least=LIMIT)
+    return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Edges have a > b; the smaller neighbours of a, and a, point at the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(edges)
+    moved = join_split(edges, least, ["a"], "n", edges.count(), least=LIMIT).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -36,6 +46,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         chained = 0 if loose else now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         if not loose and not chained:
             break
-        now = stage(_small(_star(now)), "edges")
+        now = stage(_small(stage(_star(now, now.count()), "edges")), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -1,17 +1,22 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
 Bands and rows follow from a target recall at the threshold (``plan_bands``). Texts are joined, not documents: copies are
-one node with a count. Documents that share a band hash are linked to the least of them, never to each other, and the
-connected components of these links are the groups in which all pairs are verified exactly: a group's n-gram sets are
-compared block by block by counting common n-grams in matrix products, so no pair is ever a row, whatever the size
-of the group. Verified links are counted per text, and a spanning forest of them makes the classes.
+one node with a count. Texts that share a band hash (a bucket) are linked to the least of them, never to each other, and the
+connected components of these links are groups. A group of few blocks is verified whole: its n-gram sets are compared block
+by block by counting common n-grams in matrix products. A group of more blocks than there are bands (a long chain of texts,
+say) is verified bucket by bucket, blocks inside the large buckets only, where a pair counts in the first band that
+it shares; so a text is sent at most as often as it has bands, times the blocks of its buckets. No pair is ever a row.
+Verified links are counted per text, and a spanning forest of them makes the classes.
 
 Words are as in ``[^\\x20\\x09-\\x0D]+``, n-grams are held as 64-bit hashes. A text of fewer words than n has one n-gram: all
 of its words.
 
+Hot keys: copies of a text meet in partial aggregation; a text with very many copies, a bucket or a component with very many
+texts is joined by a broadcast of its one row (``join_split``).
+
 Defined cases: a null text is an empty one; texts without words have no n-gram, so their copies form a class and have no
-links; equal rows are copies; a null doc_id takes part under a key made of its text; rows with equal doc_id and
-different texts belong to one node; an empty table gives no rows; other columns are ignored.
+links; equal rows are copies; a null doc_id takes part under a key made of its text; of rows with equal doc_id and
+different texts each text is a node of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import mix, raw, ship, slices, stage, window_hashes, word_hashes, word_spans
+from vellum.llm.common import join_split, mix, raw, ship, slices, stage, window_hashes, word_hashes, word_spans
 from vellum.llm.components import connected_components
 
 #: Texts, and n-grams, of a block in the comparison of a group.
 BLOCK_TEXTS, BLOCK_GRAMS = 512, 1 << 20
 
 
-def plan_bands(threshold: float, recall: float, rows: int = 8) -> tuple[int, int]:
-    """Bands and rows such that a pair at the threshold shares a band with at least the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
+#: Hash functions of a signature at most.
+HASHES = 320
+
+
+def plan_bands(threshold: float, recall: float, most: int = HASHES) -> tuple[int, int]:
+    """Bands and rows such that a pair at the threshold shares a band with at least the given probability.
+
+    Of all that do so within a number of hash functions, the one with the most rows: it has the fewest false candidates.
+    """
+    if threshold >= 1:
+        return 1, most
+    plans = [(math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))), rows) for rows in range(1, 33)]
+    return max((p for p in plans if p[0] * p[1] <= most), key=lambda p: p[1], default=plans[0])
 
 
 def gram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -85,11 +100,19 @@ def _signatures(n: int, bands: int, rows: int):
 
 
 def _sets(n: int):
+    """The n-gram set of each text, once a task for equal rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = ["node", "copies", "component", "blocks"]
+        seen: set[int] = set()
         for batch in slices(batches, "text"):
+            fresh = []
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             held = pa.array([s.tobytes() for s in gram_sets(batch.column("text"), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), held], names=[*keep, "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("about"), held], names=["node", "about", "grams"])
 
     return run
 
@@ -120,25 +143,34 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
 
 
 def _verify(threshold: float):
-    """Rows come sorted by (component, i, j). Gives links and linked documents of each node, and edges of a spanning forest."""
-
-    def compare(rows: list[tuple[int, int, int, np.ndarray]], i: int, j: int) -> pa.RecordBatch | None:
-        rows = list({r[0]: r for r in rows}.values())
-        left = [r for r in rows if r[2] == i]
-        right = [r for r in rows if r[2] == j] if i != j else None
-        if not left or right == [] or (right is None and len(left) < 2):
+    """Rows come sorted by (part, i, j); a part's band is -1, or the one whose bucket it is, and pairs that share an earlier band
+    are left out. Gives links and linked documents of each node, and edges of a spanning forest."""
+
+    def compare(rows: pa.Table, i: int, j: int) -> pa.RecordBatch | None:
+        node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+        block, copies = rows.column("block").to_numpy()[at], rows.column("copies").to_numpy()[at]
+        grams = rows.column("grams").combine_chunks()
+        sets = [np.frombuffer(grams[int(x)].as_buffer(), "<u8") for x in at]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right) or (i == j and len(left) < 2):
             return None
-        both = common_counts([r[3] for r in left], None if right is None else [r[3] for r in right])
-        other = left if right is None else right
-        size = np.array([len(r[3]) for r in left])[:, None] + np.array([len(r[3]) for r in other])[None, :] - both
+        both = common_counts([sets[x] for x in left], None if i == j else [sets[x] for x in right])
+        lengths = np.array([len(x) for x in sets])
+        size = lengths[left][:, None] + lengths[right][None, :] - both
         linked = (both > 0) & (both >= threshold * size - 1e-9)
-        if right is None:
+        if i == j:
             np.fill_diagonal(linked, False)
-        weight_left, weight_right = np.array([r[1] for r in left]), np.array([r[1] for r in other])
-        nodes = [r[0] for r in left] + ([r[0] for r in right] if right else [])
-        links = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)]) if right else linked.sum(axis=1)
-        docs = np.concatenate([linked @ weight_right, weight_left @ linked]) if right else linked @ weight_right
-        parent = list(range(len(nodes)))
+        band = rows.column("band")[0].as_py()
+        if band > 0:
+            held = rows.column("bands").combine_chunks()
+            bands = np.stack([held[int(x)].values.to_numpy()[:band] for x in at])
+            for k in range(band):  # an earlier band owns these pairs
+                linked &= bands[left, k][:, None] != bands[right, k][None, :]
+        links, docs = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        links[left], docs[left] = linked.sum(axis=1), linked @ copies[right]
+        if i != j:
+            links[right], docs[right] = linked.sum(axis=0), copies[left] @ linked
+        parent = list(range(len(node)))
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -149,32 +181,38 @@ def _verify(threshold: float):
         a, b = [], []
         for x in range(len(left)):
             for y in np.flatnonzero(linked[x]).tolist():
-                p, q = root(x), root(y + (len(left) if right else 0))
+                p, q = root(int(left[x])), root(int(right[y]))
                 if p != q:
                     parent[p] = q
-                    a.append(nodes[x])
-                    b.append(other[y][0])
+                    a.append(int(node[left[x]]))
+                    b.append(int(node[right[y]]))
         has = np.flatnonzero(links)
         if not len(has):
             return None
-        of, none = [nodes[k] for k in has], [None] * len(has)
+        zero = [0] * len(a)
         return pa.record_batch(
-            [pa.array(of + a, pa.int64()), pa.array(none + b, pa.int64()), pa.array(links[has].tolist() + [0] * len(a), pa.int64()), pa.array(docs[has].tolist() + [0] * len(a), pa.int64())],
+            [pa.array(node[has].tolist() + a, pa.int64()), pa.array([None] * len(has) + b, pa.int64()), pa.array(links[has].tolist() + zero, pa.int64()), pa.array(docs[has].tolist() + zero, pa.int64())],
             names=["a", "b", "links", "docs"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for r in range(b.num_rows):
-                key = tuple(b.column(c)[r].as_py() for c in ("component", "i", "j"))
+            if not b.num_rows:
+                continue
+            keys = [b.column(c).to_numpy() for c in ("part", "hash", "band", "i", "j")]
+            changes = np.zeros(b.num_rows, bool)
+            for k in keys:
+                changes[1:] |= k[1:] != k[:-1]
+            cuts = [0, *np.flatnonzero(changes).tolist(), b.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(int(k[low]) for k in keys)
                 if key != now:
-                    if held and (got := compare(held, *now[1:])) is not None:
+                    if held and (got := compare(pa.Table.from_batches(held), *now[3:])) is not None:
                         yield got
                     now, held = key, []
-                grams = np.frombuffer(b.column("grams")[r].as_buffer().to_pybytes(), "<u8")
-                held.append((b.column("node")[r].as_py(), b.column("copies")[r].as_py(), b.column("block")[r].as_py(), grams))
-        if held and (got := compare(held, *now[1:])) is not None:
+                held.append(b.slice(low, high - low))
+        if held and (got := compare(pa.Table.from_batches(held), *now[3:])) is not None:
             yield got
 
     return run
@@ -186,52 +224,94 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(11), text).alias("h2"))
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """A row a document: doc_id, class_id, text_id, n_copies, n_links, n_linked_docs.
+def _blocks(n, grams):
+    return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(grams) / BLOCK_GRAMS)).cast("int")
 
-    class_id is the least doc_id of the documents connected by links; text_id the least of the copies of its text; n_links counts
-    other texts of similarity threshold or more, n_linked_docs the documents that hold these.
+
+def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, whole_blocks: int | None = None) -> DataFrame:
+    """A row a distinct text: h1, h2, least (doc_id, of a null one h1), copies, n_links, n_linked_docs, class_id and is_first (of its class).
+
+    whole_blocks: groups of up to so many blocks are verified whole, others by buckets (None: the number of bands).
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = plan_bands(threshold, recall)
+    whole_blocks = bands if whole_blocks is None else whole_blocks
     src = keyed(docs)
     signed = src.mapInArrow(_signatures(n, bands, rows), "doc_id long, h1 long, h2 long, bands array<long>, grams long")
     texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
-    texts = stage(texts.withColumn("node", F.coalesce("least", "h1")).drop("least"), "texts")
-
-    members = texts.where("bands is not null").select("node", F.posexplode("bands").alias("band", "hash"))
-    hubs = members.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").drop("top")
-    stars = members.join(hubs, ["band", "hash"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    groups = connected_components(stars)
-
-    sized = groups.join(texts.select("node", "h1", "h2", "copies", "grams"), "node")
-    totals = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int")
-    wanted = sized.join(totals.select("component", blocks.alias("blocks")), "component").select("node", "copies", "component", "blocks", "h1", "h2")
-    # one row of each text: the one with the least doc_id; equal rows are met again by node in the comparison
-    held = src.withColumn("node", F.coalesce("doc_id", "h1")).join(wanted, ["node", "h1", "h2"]).select("node", "copies", "component", "blocks", "text")
-    sets = held.mapInArrow(_sets(n), "node long, copies long, component long, blocks int, grams binary")
+    # numbered once, and written with the numbers
+    texts = texts.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("least").alias("doc_id"), F.coalesce("least", "h1").alias("least"), "copies", "bands", "grams")
+    texts = stage(texts, "texts")
+
+    members = texts.where("bands is not null").select("node", F.posexplode("bands").alias("band", "hash"), "grams")
+    per_bucket = members.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum("grams").alias("w"))
+    buckets = stage(per_bucket.where("n > 1"), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    stars = join_split(members.select("node", "band", "hash"), buckets.select("band", "hash", "hub", "n"), ["band", "hash"], "n", total)
+    groups = connected_components(stars.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+
+    sized = groups.join(texts.select("node", "grams"), "node")
+    sizes = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("w"))
+    sizes = sizes.select("component", "n", _blocks("n", "w").alias("blocks"))
+    n_grouped = groups.count()
+    sized = stage(join_split(groups, sizes, ["component"], "n", n_grouped), "groups")
+
+    # parts of the comparison: part, hash and band (-1: a whole group) with the blocks of each
+    small = sized.where(F.col("blocks") <= whole_blocks)
+    about = small.select("node", F.array(F.struct(F.col("component").alias("part"), F.lit(0).cast("long").alias("hash"), F.lit(-1).alias("band"), "blocks")).alias("parts"))
+    large = sized.where(F.col("blocks") > whole_blocks).select("node")
+    shared = buckets.select("band", "hash", "n", _blocks("n", "w").alias("blocks"))
+    own = join_split(members.join(large, "node").select("node", "band", "hash"), shared, ["band", "hash"], "n", total)
+    own = own.groupBy("node").agg(F.collect_list(F.struct(F.lit(-1).cast("long").alias("part"), "hash", "band", "blocks")).alias("parts"))
+    about = stage(about.unionByName(own).join(texts.select("node", "h1", "h2", "doc_id", "copies", "bands"), "node"), "parts")
+    send = about.select("h1", "h2", "doc_id", "node", F.struct("copies", "parts", F.when(F.col("parts")[0]["band"] >= 0, F.col("bands")).alias("bands")).alias("about"))
+    # one row of each text, the one with the least doc_id; of rows equal to it each task sends one, and they are met again by node
+    held = src.join(send, (src["h1"] == send["h1"]) & (src["h2"] == send["h2"]) & src["doc_id"].eqNullSafe(send["doc_id"])).select("node", "about", "text")
+    kind = held.select("node", "about").withColumn("grams", F.lit(b"")).schema
+    sets = held.mapInArrow(_sets(n), kind).select("node", "grams", F.explode("about.parts").alias("p"), "about.copies", "about.bands")
+    sets = sets.select("p.part", "p.hash", "p.band", "p.blocks", "node", "copies", "grams", "bands")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("component", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "node", "copies", "block", "grams")
-    checked = sets.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    key = ["part", "hash", "band", "i", "j"]
+    sets = sets.select("part", "hash", "band", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "node", "copies", "block", "grams", "bands")
+    checked = sets.repartition(parts, *key).sortWithinPartitions(*key)
     verified = stage(checked.mapInArrow(_verify(threshold), "a long, b long, links long, docs long"), "links")
 
     links = verified.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
-    classes = connected_components(verified.where("b is not null").select("a", "b"))
-    about = texts.select("h1", "h2", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
+    found = connected_components(verified.where("b is not null").select("a", "b"))
+    first = found.join(texts.select("node", "least", "h1", "h2"), "node").groupBy("component")
+    first = first.agg(F.min(F.struct("least", "h1", "h2")).alias("first"), F.count("*").alias("n"))
+    named = join_split(found, stage(first, "classes"), ["component"], "n", found.count()).drop("component")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows_of = src.select("doc_id", "h1", "h2").join(about, ["h1", "h2"])
-    return rows_of.select("doc_id", F.coalesce("component", "node").alias("class_id"), F.col("node").alias("text_id"), F.col("copies").alias("n_copies"), zero("n_links"), zero("n_linked_docs"))
+    out = texts.select("h1", "h2", "node", "least", "copies").join(links, "node", "left").join(named, "node", "left")
+    is_first = F.coalesce(F.col("first") == F.struct("least", "h1", "h2"), F.lit(True)).alias("is_first")
+    return stage(out.select("h1", "h2", "least", "copies", zero("n_links"), zero("n_linked_docs"), F.coalesce("first.least", "least").alias("class_id"), is_first), "about")
+
+
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, whole_blocks: int | None = None) -> DataFrame:
+    """A row a document: doc_id, class_id, text_id, n_copies, n_links, n_linked_docs.
+
+    class_id is the least doc_id of the documents connected by links; text_id the least of the copies of its text; n_links counts
+    other texts of similarity threshold or more, n_linked_docs the documents that hold these.
+    """
+    about = classes(docs, n, threshold, recall, whole_blocks).withColumn("n_copies", F.col("copies")).drop("is_first")
+    total = about.agg(F.sum("copies")).first()[0] or 0
+    rows = join_split(keyed(docs).select("doc_id", "h1", "h2"), about, ["h1", "h2"], "copies", total)
+    return rows.select("doc_id", "class_id", F.col("least").alias("text_id"), "n_copies", "n_links", "n_linked_docs")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One document of each class: the one with the least doc_id (of equal rows, one)."""
+    """One document of each class of texts: one with the least doc_id, and of its texts in the class the one with the least hash.
+
+    Rows of one doc_id and different texts are judged each; of rows equal in both one stays.
+    """
     columns = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), key.alias("_key"), F.xxhash64("text").alias("_tie"))
-    kept = join(docs, n, threshold, recall).select(F.col("class_id").alias("_key")).distinct()
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_tie"))
-    chosen = rows.join(kept, "_key").withColumn("_n", first).where("_n = 1")
+    keys = keyed(docs.select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(11), text).alias("h2"))
+    rows = rows.withColumn("_id", F.coalesce("_id", "h1"))
+    kept = classes(keys, n, threshold, recall).where("is_first").select(F.col("least").alias("_id"), "h1", "h2")
+    first = F.row_number().over(Window.partitionBy("_id", "h1", "h2").orderBy(F.lit(0)))
+    chosen = rows.join(kept, ["_id", "h1", "h2"]).withColumn("_n", first).where("_n = 1")
     return chosen.select(*[F.col("_row").getField(c).alias(c) for c in columns])
