@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -128,8 +129,10 @@ def cut_by_hand(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n, sketch", [(35, 128 << 20), (5, 1 << 18)])
+@pytest.mark.parametrize("n, sketch", [(35, None), (5, None), (5, 64)])
 def test_substrings(docs, empty, n, sketch, monkeypatch):
+    """Also with a sketch far too small, which lets nearly all windows through and loses none."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 20_000)
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     want = sorted(cut_by_hand(ROWS, n), key=key)
     for bound in (16 << 20, 0):  # broadcast and shuffled spans
@@ -140,6 +143,31 @@ def test_substrings(docs, empty, n, sketch, monkeypatch):
     assert substrings.remove_repeated(empty, n).count() == 0
 
 
+def handed_on(docs, n, cells):
+    """Windows that the second pass hands on."""
+    found, buckets, _ = substrings.candidates(substrings.keyed(docs), n, cells)
+    coder, out = zstandard.ZstdDecompressor(), 0
+    for r in found.collect():
+        if r["bucket"] < buckets:
+            out += len(substrings._unblob(bytes(r["held"]), substrings.ENTRY, coder))
+        elif bytes(r["held"])[:1] == b"p":
+            out += len(substrings._unblob(bytes(r["held"])[1:], substrings.PLACE, coder))
+    return out
+
+
+def test_the_prefilter_filters(spark, monkeypatch):
+    """Texts of random words with one passage in common: a sketch in proportion hands on little but the passage."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 30_000)
+    rng = random.Random(3)
+    text = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    passage = text(50)
+    rows = [(i, f"{text(200)} {passage} {text(200)}" if i % 4 == 0 else text(400)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    every, repeated = sum(len(words(t)) - 34 for _, t in rows), 50 * 16
+    share = {cells: handed_on(frame, 35, cells) / every for cells in (None, every // 4, 1000)}
+    assert repeated / every <= share[None] < repeated / every + 0.02 < 0.1 < share[every // 4] < share[1000]
+
+
 def test_window_hashes_follow_the_words():
     texts = pa.array(["a b c d e", "x a b c d", None, "a b c d"])
     h, g, row, at = substrings.windows(texts, 4)
