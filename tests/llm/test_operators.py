@@ -424,9 +424,10 @@ def test_pages(spark):
 def test_templates_are_valid_classes(spark):
     rows = [(i, "h", i, f"<body><div><b>x</b></div><p>1</p>{'<i>q</i><u>r</u>' if i % 2 else '<u>r</u><i>q</i>'}</body>") for i in range(6)]
     frame = spark.createDataFrame(rows, "page_id long, host string, page long, html string")
-    assert not pages.templates(frame)[0].collect()  # the only class holds i and u, whose order differs from page to page
+    assert not pages.templates(frame, pages.hot_hosts(frame)).collect()  # the only class holds i and u, whose order differs from page to page
     steady = [(i, "h", i, "<body><div>x</div>" + "<p>1</p>" * (i + 1) + "</body>") for i in range(6)]
-    (row,) = pages.templates(spark.createDataFrame(steady, "page_id long, host string, page long, html string"))[0].collect()
+    frame = spark.createDataFrame(steady, "page_id long, host string, page long, html string")
+    (row,) = pages.templates(frame, pages.hot_hosts(frame)).collect()
     assert row["template"] == '[["body","div","/div","/body"],["p","/p"]]'
 
 
@@ -466,6 +467,54 @@ def test_article_text_is_kept_whatever_its_classes():
     assert got("<article>a<figure><figcaption>b</figcaption></figure><p>c <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == "a b c x = 1"
 
 
+def test_the_template_decides(spark):
+    """Without an article and without names that tell: the same page alone, and among others of its host."""
+    page = "<body><div><b>The Daily Page</b></div><div><h2>Today</h2><p>story {i} is told</p><p>in two parts {i}</p></div><div><p>Written by hand</p></div></body>"
+    rows = [(i, "http://h.example/", page.format(i=i)) for i in range(8)] + [(9, "http://alone.example/", page.format(i=9))]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} is told in two parts {i}" for i in range(8)} | {9: pages.extract(rows[8][2], set())}
+    assert got[9] == "The Daily Page Today story 9 is told in two parts 9 Written by hand"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        best = 9.0
+        for _ in range(3):
+            at = time.perf_counter()
+            pages.extract(page, set())
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    makers = [
+        lambda n: "<div>" * n + "</p>" * n,
+        lambda n: '<a "' * n,
+        lambda n: '<a x="' * n,
+        lambda n: "<a x='y\"" * n + ">",
+        lambda n: "<div>" * n + "<article></article>" * n,
+        lambda n: "<div>x" * n,
+        lambda n: "<article>x" * n,
+        lambda n: "<!" * n,
+        lambda n: "<!--" * n,
+        lambda n: "<svg " * n,
+        lambda n: "<script>" * n,
+        lambda n: "<" * n,
+        lambda n: "class" * n + "<a class" + " class" * n + ">",
+    ]
+    for k, make in enumerate(makers):
+        small, large = seconds(make(3000)), seconds(make(24000))
+        assert large < 0.05 or large < 24 * small, (k, small, large)
+
+
+def test_odd_tags():
+    got = lambda x: pages.extract(x, set())
+    assert got('<article>a <a title="x > y" href=z>b</a> 1 < 2 c<br/>d</article>') == "a b 1 < 2 c d"
+    assert got("<article>a<script>if (a<b) '</article>'</script> b<!-- </article> --> c</article>") == "a b c"
+    assert got('<article>a <p class="x" "odd">b</p><textarea>no</textarea></article>') == "a b"
+    assert got("<article>a<!-- never closed b</article>") == "a"
+
+
 def test_rare_articles_are_kept(spark):
     page = '<body><article class="teaser">teaser {i}</article>{more}</body>'
     rows = [(i, f"http://h.example/{i}", page.format(i=i, more='<article class="story breaking">real text</article>' if i == 7 else "")) for i in range(40)]

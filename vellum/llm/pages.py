@@ -11,8 +11,8 @@ main text if its content varies, an article or main element holds it (where ther
 in it: the body), and no element around it is a menu, a form, an advert and so on. The text of main slots is extracted in
 page order.
 
-Hot hosts: vectors and orders are pre-aggregated in each task, and the pages of a host with over HOT of all pages (there are
-fewer than 1 / HOT such hosts) meet their template under as many salts as there are shuffle partitions.
+Hot hosts: vectors and orders are pre-aggregated in each task, and the pages of a host with more bytes than a partition's share
+(there are fewer such hosts than partitions) meet their template under as many salts as it has such shares.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; a host with a single page
 has a template of that page's tags; copies count as one page of a template; a host of fewer than three distinct pages has no text in its
@@ -35,18 +35,18 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import ship, slices, stage
 
-HOT = 0.01
 #: A class of tags must occur on this share of its host's pages to belong to the template. It bounds a hot host's template; every article and
 #: main element of a page counts, in the template or not.
 SUPPORT = 0.1
 #: A text must be on so many distinct pages, and on more than this share of them, to belong to the template.
 TEXT_PAGES, TEXT_SHARE = 3, 0.5
 
-OPAQUE = "script|style|noscript|template|textarea|iframe|svg|object"
-TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*/>|<({OPAQUE})(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Quoted values may hold ">". A tag, comment or element that is never closed goes on to the end of the page, so every
+#: character is read a bounded number of times; nothing is tried again (possessive repeats).
+_REST = r"(?:[^\"'>=]|=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|[=\"'])*+(?:>|\Z)"
+TAG = re.compile(rf"<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_REST})", re.S)
+OPAQUE = frozenset("script style noscript template textarea iframe svg object".split())
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for name in OPAQUE}
 CLASS = re.compile(r"(?<![\w\-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -86,23 +86,35 @@ def is_aside(token: str, inside_main: bool) -> bool:
 def asides(tags: list[tuple[int, int, str, str, int]]) -> set[int]:
     """Places of the start tags of asides. Where all main elements are in asides, names of classes and wrappers around them do not count."""
     found: set[int] = set()
+    around: set[int] = set()  # what holds main elements
     stack: list[int] = []
-    around: list[list[int]] = []  # what holds each main element
-    inside = 0
+    inside = off = 0  # open main elements and asides
+    mains = free = 0  # outermost main elements, and those in no aside
     for k, (_, _, kind, token, ends) in enumerate(tags):
         if kind == "open":
-            if is_aside(token, inside > 0):
-                found.add(k)
             if token.partition(".")[0] in MAIN:
                 if not inside:
-                    around.append(stack[:])
+                    mains += 1
+                    free += not off
+                    for x in reversed(stack):
+                        if x in around:
+                            break
+                        around.add(x)
                 inside += 1
+                if is_aside(token, inside > 1):
+                    found.add(k)
+                    off += 1
+            elif is_aside(token, inside > 0):
+                found.add(k)
+                off += 1
             stack.append(k)
         elif kind == "close" and ends:
-            inside -= sum(tags[x][3].partition(".")[0] in MAIN for x in stack[-ends:]) if inside else 0
+            for x in stack[-ends:]:
+                inside -= tags[x][3].partition(".")[0] in MAIN
+                off -= x in found
             del stack[-ends:]
-    if around and all(not found.isdisjoint(x) for x in around):
-        names = {k: tags[k][3].partition(".")[0] for x in around for k in x}
+    if mains and not free:
+        names = {k: tags[k][3].partition(".")[0] for k in around}
         found -= {k for k, name in names.items() if name not in ASIDE or name in WRAPPERS}
     return found
 
@@ -110,50 +122,64 @@ def asides(tags: list[tuple[int, int, str, str, int]]) -> set[int]:
 def walk(page: str) -> Iterator[tuple[int, int, str, str, int]]:
     """Start, end, kind ("open", "close", "void", "gone"), token and - for a close - number of elements it ends."""
     stack: list[str] = []
-    for m in TAG.finditer(page):
-        name = m.group(3)
+    open_now: Counter[str] = Counter()
+    at = 0
+    while m := TAG.search(page, at):
+        start, at = m.span()
+        name = m.group(2)
         if name is None:
-            yield m.start(), m.end(), "gone", "", 0
+            yield start, at, "gone", "", 0
             continue
         name = name.lower()
-        if m.group(2):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].partition(".")[0] == name:
-                    token, ends = stack[depth], len(stack) - depth
-                    del stack[depth:]
-                    yield m.start(), m.end(), "close", token, ends
-                    break
-            else:
-                yield m.start(), m.end(), "close", name, 0
-        elif name in VOID or m.group(4).endswith("/"):
-            yield m.start(), m.end(), "void", name, 0
+        rest = m.group(3)
+        is_closed = rest.endswith("/>")
+        if name in OPAQUE and not m.group(1) and not (name == "svg" and is_closed):
+            end = ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
+            yield start, at, "gone", "", 0
+        elif m.group(1):
+            if not open_now[name]:
+                yield start, at, "close", name, 0
+                continue
+            depth = len(stack) - 1
+            while stack[depth].partition(".")[0] != name:  # all of these end here
+                depth -= 1
+            token, ends = stack[depth], len(stack) - depth
+            for x in stack[depth:]:
+                open_now[x.partition(".")[0]] -= 1
+            del stack[depth:]
+            yield start, at, "close", token, ends
+        elif name in VOID or is_closed:
+            yield start, at, "void", name, 0
         else:
-            token = label(name, m.group(4))
+            token = label(name, rest)
             stack.append(token)
-            yield m.start(), m.end(), "open", token, 0
+            open_now[name] += 1
+            yield start, at, "open", token, 0
 
 
-def scan(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
-    """Kind ("open", "close", "text"), token, text (of a tag: "aside" in one) and tokens of the main elements around it.
-    Texts of asides are left out."""
-    stack: list[tuple[str, int]] = []  # token, and asides around it
+def scan(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """Kind ("open", "close", "text"), token, text (of a tag: "aside" in one) and whether a main element holds it.
+    Texts of asides are left out. A text's token is a hash of its place and itself."""
+    stack: list[tuple[bytes, int, int]] = []  # hash of the place; asides and main elements around what follows
     held: list[str] = []
-    place: tuple[str, list[str]] = ("", [])
-    at = aside = 0
+    where: tuple[bytes, bool] = (b"", False)
+    at = aside = main = 0
 
-    def block() -> Iterator[tuple[str, str, str, list[str]]]:
+    def block() -> Iterator[tuple[str, str, str, bool]]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            yield "text", "=" + blake2b(f"{place[0]} {text}".encode("utf-8", "replace"), digest_size=8).hexdigest(), text, place[1]
+            own = blake2b(where[0] + b" " + text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+            yield "text", "=" + own, text, where[1]
 
     tags = list(walk(page))
     off = asides(tags)
+    place = b""
     for k, (start, end, kind, token, ends) in enumerate([*tags, (len(page), len(page), "end", "", 0)]):
         if start > at and not aside:
             if not held:
-                names = [t.partition(".")[0] for t, _ in stack]
-                place = "/".join(x for x in names if x not in LOOSE), [t for (t, _), x in zip(stack, names, strict=True) if x in MAIN]
+                where = place, main > 0
             held.append(entities.unescape(page[at:start]))
         at = end
         name = token.partition(".")[0]
@@ -163,13 +189,16 @@ def scan(page: str) -> Iterator[tuple[str, str, str, list[str]]]:
         elif kind != "gone" and name not in INLINE:
             yield from block()
         if kind == "open":
-            stack.append((token, aside))
+            stack.append((place, aside, main))
+            if name not in LOOSE:
+                place = blake2b(place + name.encode("utf-8", "replace"), digest_size=8).digest()
             aside += k in off
+            main += name in MAIN
         elif kind == "close" and ends:
-            aside = stack[-ends][1]
+            place, aside, main = stack[-ends]
             del stack[-ends:]
         if kind in ("open", "close"):
-            yield kind, token, "aside" if aside else "", []
+            yield kind, token, "aside" if aside else "", False
 
 
 def page_tokens(page: str) -> list[str]:
@@ -179,9 +208,9 @@ def page_tokens(page: str) -> list[str]:
 def extract(page: str, template: set[str]) -> str:
     """Text of the main slots of a page. template: tokens of its host's valid classes and the texts of its template."""
     items = list(scan(page))
-    main = {token for kind, token, text, _ in items if kind == "open" and not text and token.partition(".")[0] in MAIN}
-    texts = [(token, text, not main.isdisjoint(around)) for kind, token, text, around in items if kind == "text"]
-    inside = [x for x in texts if x[2]] if main else texts
+    texts = [(token, text, inside) for kind, token, text, inside in items if kind == "text"]
+    has_main = any(kind == "open" and not text and token.partition(".")[0] in MAIN for kind, token, text, _ in items)
+    inside = [x for x in texts if x[2]] if has_main else texts
     varying = [text for token, text, _ in inside if token not in template]
     if inside and not varying:  # the article is part of the template: the page's own text is elsewhere
         varying = [text for token, text, _ in texts if token not in template]
@@ -253,17 +282,31 @@ def _order_rows(seen: set[tuple[str, int, str]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "class", "order"])
 
 
-def _salt(hot: list[str], salts: int):
-    """The salt of a page, and all salts of a host."""
-    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
-    own = F.when(is_hot, F.pmod("page", F.lit(salts)).cast("int")).otherwise(0)
-    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    return own.alias("salt"), every.alias("salt")
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """Hosts with more bytes of html than a partition's share, so no more of them than partitions, and their salts: as many as
+    make a host's pages under one salt such a share."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 100).alias("bytes"))
+    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 100)).first()[0] or 0
+    share = max(1, total // parts)
+    return stage(sizes.where(F.col("bytes") > share).select("host", F.ceil(F.col("bytes") / share).cast("int").alias("salts")), "hot")
+
+
+def _salted(pages: DataFrame, hot: DataFrame) -> DataFrame:
+    """pages with a salt each."""
+    out = pages.join(F.broadcast(hot), "host", "left")
+    return out.withColumn("salt", F.coalesce(F.pmod("page", "salts").cast("int"), F.lit(0))).drop("salts")
+
+
+def _under_all(hosts: DataFrame, hot: DataFrame) -> DataFrame:
+    """A host's row under each of its salts."""
+    out = hosts.join(F.broadcast(hot), "host", "left")
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
 
-def templates(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+def templates(pages: DataFrame, hot: DataFrame) -> DataFrame:
     """host, template (a JSON list of its valid classes' tags, each in its order) and texts (a JSON list of texts t that are on over half
-    of its pages, each with a tag of its class; none: on every page), and the hot hosts. pages: host, page (a long), html."""
+    of its pages, each with a tag of its class; none: on every page). pages: host, page (a long), html."""
     read = pages.select("host", "html").mapInArrow(_sequences, "host string, tokens string").where("tokens <> ''")
     tokens = stage(read.distinct().withColumn("page", F.xxhash64("tokens")), "tags")
     vectors = tokens.mapInArrow(_vectors, "host string, token string, pages long, total long, low long, high long")
@@ -284,14 +327,10 @@ def templates(pages: DataFrame) -> tuple[DataFrame, list[str]]:
     texts = texts.select("host", tag.alias("tag"), F.explode("of_text").alias("t"))
     texts = texts.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("t", "tag")))).alias("texts"))
 
-    per_host = pages.groupBy("host").agg(F.count("*").alias("n"))
-    total = pages.count()
-    hot = [r["host"] for r in per_host.where(F.col("n") > HOT * total).collect()]  # fewer than 1 / HOT
-    own, every = _salt(hot, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    orders = tokens.select("*", own).join(listed.select("*", every), ["host", "salt"]).select("host", "tokens", "classes").mapInArrow(_orders, "host string, class int, order string")
+    orders = _salted(tokens, hot).join(_under_all(listed, hot), ["host", "salt"]).select("host", "tokens", "classes").mapInArrow(_orders, "host string, class int, order string")
     valid = orders.groupBy("host", "class").agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least = most and least <> ''")
     valid = valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.split("least", "\n")))).alias("template"))
-    return valid.join(texts, "host", "full"), hot
+    return valid.join(texts, "host", "full")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +354,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
     src = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
-    found, hot = templates(src)
-    own, every = _salt(hot, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = src.select("*", own).join(found.select("*", every), ["host", "salt"], "left").select("page_id", "url", "html", "template", "texts")
+    hot = hot_hosts(src)
+    found = templates(src, hot)
+    joined = _salted(src, hot).join(_under_all(found, hot), ["host", "salt"], "left").select("page_id", "url", "html", "template", "texts")
     schema = joined.select("page_id", "url").withColumn("text", F.lit("")).schema
     return joined.mapInArrow(_extract, schema)
