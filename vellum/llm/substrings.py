@@ -36,8 +36,10 @@ from vellum.llm.common import mix, raw, ship, slices, stage, window_hashes, word
 CELLS_PER_BYTE = 2
 #: Bytes of text in a chunk, bytes of text whose windows one slice of a row counts, and bytes of text for each bucket and each task.
 CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES, TASK_BYTES = 16 << 20, 48 << 20, 16 << 20, 256 << 20
+#: Compression of a chunk's texts, which are written once and shuffled once.
+LEVEL = 6
 #: Windows after which a task hands on what it holds.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Spans up to this size are broadcast to the texts; beyond, texts and spans are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: A window: its hash (h, of which a bucket's blob keeps 48 bits, and g), first word and document. A document is written as
@@ -63,6 +65,17 @@ def windows(column: pa.Array, size: int, both: bool = True) -> tuple[np.ndarray,
     return hashed[0], hashed[1] if both else None, row, (inside - before[row]).astype(np.int32)
 
 
+def all_windows(texts: pa.RecordBatch, size: int, both: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """windows() of a chunk's texts, of some MB at a time."""
+    found, at = [], 0
+    for part in slices(iter([texts]), "text"):
+        h, g, row, start = windows(part.column("text"), size, both)
+        found.append((h, g, row + np.int32(at), start))
+        at += part.num_rows
+    h, g, row, start = zip(*found, strict=True)
+    return np.concatenate(h), np.concatenate(g) if both else None, np.concatenate(row), np.concatenate(start)
+
+
 @dataclass(frozen=True)
 class Sketch:
     """Two rows of ``cells`` cells, each cut in ``slices`` slices of ``width`` cells (numbered row by row)."""
@@ -87,7 +100,7 @@ def _chunk(size: int):
     """Texts by chunks: key hashes and text of its rows as one compressed table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, count, number = zstandard.ZstdCompressor(level=1), [], 0, TaskContext.get().partitionId() << 32
+        coder, held, count, number = zstandard.ZstdCompressor(level=LEVEL), [], 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             nonlocal held, count, number
@@ -132,7 +145,7 @@ def _sketch(size: int, sketch: Sketch):
         up, down = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for b in batches:
             for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
-                h = windows(_open(data, down).column("text"), size, False)[0]
+                h = all_windows(_open(data, down), size, False)[0]
                 out = []
                 for row, cells in enumerate(sketch.rows(h) if len(h) else []):
                     cells.sort()
@@ -186,7 +199,7 @@ class _Chunk:
 
     def __init__(self, texts: pa.RecordBatch, size: int, sketch: Sketch):
         self.texts, self.sketch = texts, sketch
-        self.h, self.g, self.row, self.at = windows(texts.column("text"), size)
+        self.h, self.g, self.row, self.at = all_windows(texts, size)
         self.rows = []
         for cells in sketch.rows(self.h) if len(self.h) else []:
             own, inverse, count = np.unique(cells, return_inverse=True, return_counts=True)
