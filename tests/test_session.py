@@ -192,3 +192,67 @@ def test_fractions_are_rounded(s):
     got = rows(s, "SELECT a, b, c FROM t")[0]
     assert [v.isoformat() for v in got] == ["2020-01-01T00:01:00", "2020-01-01T00:00:00.124000", "2020-01-01T00:00:00.123456"]
     assert tuple(s.rows("t").select(format_time(F.col("d"), 3), format_time(F.col("e"))).first()) == ("01:02:03.457", "-00:00:02")
+
+
+def test_dialect_in_changes(engine):
+    """Functions of the dialect, and subqueries, wherever an expression may stand."""
+    s = engine.session()
+    s.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, doc JSON, n INT DEFAULT 3, CONSTRAINT c CHECK (JSON_EXTRACT(doc, '$.bad') IS NULL))")
+    s.execute("INSERT INTO t (id, doc) VALUES (1, '{\"k\": 1}'), (2, '{\"k\": 2}'), (3, '{\"k\": 1}')")
+    with pytest.raises(ConstraintError, match="check c"):
+        s.execute("UPDATE t SET doc = '{\"bad\": 1}' WHERE id = 1")
+    assert s.execute("UPDATE t SET n = JSON_EXTRACT(doc, '$.k') + ? WHERE JSON_EXTRACT(doc, '$.k') = ?", [10, "1"]) == 2
+    assert s.execute("UPDATE t SET n = DEFAULT WHERE id IN (SELECT max(id) FROM t)") == 1
+    assert [tuple(r) for r in s.query("SELECT id, n FROM t ORDER BY id").collect()] == [(1, 11), (2, 3), (3, 3)]
+    assert s.execute("DELETE FROM t WHERE JSON_EXTRACT(doc, '$.k') = '1' AND EXISTS (SELECT 1 FROM t x WHERE x.id = t.id + 1)") == 1
+    assert [r.id for r in s.query("SELECT id FROM t ORDER BY id").collect()] == [2, 3]
+
+
+def test_enum_order_follows_the_column(engine):
+    s = engine.session()
+    s.execute("CREATE TABLE e (id BIGINT PRIMARY KEY, state ENUM('new', 'old', 'gone'))")
+    s.execute("CREATE TABLE p (id BIGINT PRIMARY KEY, state VARCHAR(9))")
+    s.execute("INSERT INTO e VALUES (1, 'gone'), (2, 'new'), (3, 'old'), (4, NULL)")
+    s.execute("INSERT INTO p VALUES (1, 'zeta'), (2, 'alpha'), (3, 'new'), (4, 'old')")
+    column = lambda q: [r[0] for r in s.query(q).collect()]
+    assert column("SELECT state FROM p ORDER BY state") == ["alpha", "new", "old", "zeta"]
+    assert column("SELECT state FROM e ORDER BY state") == [None, "new", "old", "gone"]
+    assert column("SELECT state, id FROM e WHERE state IS NOT NULL ORDER BY 1 DESC LIMIT 2") == ["gone", "old"]
+    assert column("SELECT x FROM (SELECT state AS x FROM e) y WHERE x IS NOT NULL ORDER BY x") == ["new", "old", "gone"]
+    assert column("SELECT e.id FROM e JOIN p ON e.id = p.id ORDER BY p.state, e.state") == [2, 3, 4, 1]
+
+
+def test_functions_of_the_dialect(engine):
+    s = engine.session()
+    s.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, at TIME(3), w VARCHAR(20))")
+    s.execute("INSERT INTO t VALUES (1, '12:34:56', 'é'), (2, '-101:00:01', 'b'), (3, NULL, 'b')")
+    one = lambda q: s.query(q).collect()
+    assert [tuple(r) for r in one("SELECT LENGTH(w), CHAR_LENGTH(w), CAST(at AS CHAR), CAST(id AS CHAR(1)) FROM t ORDER BY id")] == [(2, 1, "12:34:56", "1"), (1, 1, "-101:00:01", "2"), (1, 1, None, "3")]
+    assert one("SELECT GROUP_CONCAT(DISTINCT w ORDER BY w SEPARATOR '; ') AS g, GROUP_CONCAT(id ORDER BY id DESC) AS i FROM t")[0] == ("b; é", "3,2,1")
+    assert [r.id for r in one("SELECT id FROM t ORDER BY id LIMIT 1, 2")] == [2, 3]
+    assert "vellum" in one("SELECT VERSION()")[0][0]
+    assert one(f"SELECT vellum_recover_commit('{s.last_transaction}') AS o")[0].o == "committed"
+
+
+def test_files_are_pruned_by_key(engine, spark, monkeypatch):
+    from vellum import session
+
+    monkeypatch.setattr(session, "FILE_BYTES", 2000)
+    s = engine.session()
+    s.execute("CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(40))")
+    s.execute("INSERT INTO t SELECT id, md5(CAST(id AS STRING)) FROM range(500)")
+    engine.checkpoint()
+    files = lambda q, a=None: len(s.query(q, a).inputFiles())
+    every = files("SELECT * FROM t")
+    assert every >= 3
+    assert files("SELECT v FROM t WHERE id = 42") == 1 and files("SELECT v FROM t WHERE v <> 'x' AND t.id >= ? LIMIT 3", [499]) == 1
+    assert files("SELECT v FROM t x WHERE x.id BETWEEN 3 AND 4 AND v > ''") == 1 and 1 <= files("SELECT v FROM t WHERE id IN (0, 499)") <= 2
+    for q in ("SELECT v FROM t WHERE id = 42 OR v = 'a'", "SELECT v FROM t WHERE CASE WHEN v > '' AND id = 3 AND v < 'z' THEN 1 ELSE 1 END = 1", "SELECT a.v FROM t a, t b WHERE a.id = 3 AND b.id = 4"):
+        assert files(q) >= every
+    s.execute("UPDATE t SET v = 'changed' WHERE id = 42")
+    assert [r.v for r in s.query("SELECT v FROM t WHERE id = 42").collect()] == ["changed"]
+    assert s.query("SELECT v FROM t WHERE id = 500").collect() == []
+    engine.checkpoint()
+    assert [r.v for r in s.query("SELECT v FROM t WHERE id = 42").collect()] == ["changed"]
+    plan = s.query("SELECT COUNT(*) AS n FROM t")
+    assert plan.collect()[0].n == 500 and not plan.inputFiles()

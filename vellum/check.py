@@ -71,14 +71,12 @@ def _table(engine: Engine, id: str, k: str, t: dict, out: Report, seen: set) ->
     out.files += len(new)
     damaged = False
     if new:
-        found = engine.spark.read.format("binaryFile").load([store.path(f["path"]) for f in new])
         try:
-            rows = found.select(F.col("path").alias("p"), F.sha2("content", 256).alias("s")).collect()
-            sums = {"/".join(r["p"].rsplit("/", 2)[-2:]): r["s"] for r in rows}
+            sums = engine.digests([store.path(f["path"]) for f in new])
         except Exception:  # noqa: BLE001  a file that cannot be read stops the job and is named by reading one at a time
-            sums = {"/".join(f["path"].split("/")[-2:]): store.sha256(f["path"]) for f in new}
+            sums = {f["path"].rsplit("/", 1)[1]: store.sha256(f["path"]) for f in new}
         for f in new:
-            if sums.get("/".join(f["path"].split("/")[-2:])) != f["sha256"]:
+            if sums.get(f["path"].rsplit("/", 1)[1]) != f["sha256"]:
                 damaged = True
                 out.problems.append(f"{id[:8]} {k}: file {f['path']} does not have its digest")
     if sum(f["rows"] for f in t["files"]) != t["rows"]:

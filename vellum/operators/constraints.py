@@ -4,28 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.overlay import same_key
 
 
-def null_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows that are null in one of the columns."""
+def any_null(columns: Sequence[str]) -> Column:
+    """Is one of the columns null?"""
     bad = F.lit(False)
     for c in columns:
         bad = bad | F.col(c).isNull()
-    return df.where(bad)
+    return bad
 
 
-def nan_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with NaN in a floating key column."""
+def any_nan(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Is one of the columns, if it is floating, NaN?"""
     floats = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")}
     bad = F.lit(False)
     for c in columns:
         if c in floats:
             bad = bad | F.isnan(c)
-    return df.where(bad)
+    return bad
+
+
+def null_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows that are null in one of the columns."""
+    return df.where(any_null(columns))
+
+
+def nan_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with NaN in a floating key column."""
+    return df.where(any_nan(df, columns))
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

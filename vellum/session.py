@@ -7,6 +7,7 @@ takes the store's lock, compares keys and unique values with what was committed
 
 from __future__ import annotations
 
+import os
 import re
 import time
 import uuid
@@ -25,6 +26,10 @@ from vellum.plans.router import Statement
 from vellum.sources.store import ConflictError, Store
 
 MODES = ("journal", "audit")
+#: Bytes of a base file; transactions whose order is written in the plan (of more it is joined).
+FILE_BYTES, LITERAL_ORDER = 128 << 20, 100
+#: Types of a first key column whose range is kept for each file: their text says all, and compares as the column does.
+PRUNED = frozenset("tinyint smallint mediumint int bigint date".split())
 _STATEMENT_META = "`_op` string, `_seq` bigint, `_tx` string"
 
 
@@ -103,43 +108,66 @@ class Engine:
 
     # -- rows ----------------------------------------------------------------------------------------------------------
 
-    def base_rows(self, state: TableState) -> DataFrame:
+    def base_rows(self, state: TableState, spark: SparkSession | None = None) -> DataFrame:
+        spark = spark or self.spark
         paths = [self.store.path(f["path"]) for f in state.files]
-        reader = self.spark.read.schema(state.schema.ddl)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], state.schema.ddl)
+        reader = spark.read.schema(state.schema.ddl)
+        return reader.parquet(*paths) if paths else spark.createDataFrame([], state.schema.ddl)
 
-    def edits(self, state: TableState, files: Sequence[str], order: Sequence[tuple[str, int]]) -> DataFrame:
+    def edits(self, state: TableState, files: Sequence[str], order: Sequence[tuple[str, int]], spark: SparkSession | None = None) -> DataFrame:
         """Change files as edits, with the generation of the transaction that each row belongs to."""
-        rows = self.spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files])
-        number = F.create_map(*[x for tx, g in order for x in (F.lit(tx), F.lit(g).cast("long"))])
-        return rows.withColumn("_generation", number[F.col("_tx")]).drop("_tx")
-
-    def rows(self, state: TableState, own: Sequence[str] = (), tx: str = "") -> DataFrame:
+        spark = spark or self.spark
+        rows = spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files])
+        if len(order) <= LITERAL_ORDER:
+            number = F.create_map(*[x for tx, g in order for x in (F.lit(tx), F.lit(g).cast("long"))])
+            return rows.withColumn("_generation", number[F.col("_tx")]).drop("_tx")
+        numbers = spark.createDataFrame([(tx, int(g)) for tx, g in order], "_tx string, _generation bigint")
+        return rows.join(F.broadcast(numbers), "_tx").drop("_tx")
+
+    def rows(self, state: TableState, own: Sequence[str] = (), tx: str = "", spark: SparkSession | None = None) -> DataFrame:
         """The table's rows: base, journal and a transaction's own edits, newest first."""
-        base = self.base_rows(state)
+        base = self.base_rows(state, spark)
         files = [*state.changes, *own]
         if not files:
             return base
         order = [*state.order, (tx, 1 << 62)] if own else list(state.order)
-        return overlay.overlay(base, self.edits(state, files, order), state.schema.key)
+        return overlay.overlay(base, self.edits(state, files, order, spark), state.schema.key)
 
     def write_base(self, name: str, rows: DataFrame, schema: Schema) -> list[dict]:
         """Base files, sorted by key within key ranges, with their row counts and digests."""
         folder = self.store.new_folder("data", name)
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.repartitionByRange(parts, *schema.key).sortWithinPartitions(*schema.key).write.parquet(self.store.path(folder))
-        return self.describe_files(self.store.written(folder))
-
-    def describe_files(self, files: Sequence[str]) -> list[dict]:
-        """Rows and SHA-256 of files; empty ones are left out. Digests are computed by tasks, a row a file comes back."""
+        parts = self._parts(rows)
+        ranged = rows.repartitionByRange(parts, *schema.key) if parts > 1 else rows.coalesce(1)
+        ranged.sortWithinPartitions(*schema.key).write.parquet(self.store.path(folder))
+        return self.describe_files(self.store.written(folder), schema)
+
+    def _parts(self, rows: DataFrame) -> int:
+        """Files for rows, by the bytes that they are read from; as many as shuffle partitions where Spark cannot tell these."""
+        leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if size >= 1 << 60 else 1 + size // FILE_BYTES
+
+    def describe_files(self, files: Sequence[str], schema: Schema) -> list[dict]:
+        """Rows, least and greatest first key column and SHA-256 of files; empty ones are left out. All of it is computed by tasks; a row
+        a file comes back."""
         if not files:
             return []
         paths = [self.store.path(f) for f in files]
-        counts = self.spark.read.parquet(*paths).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()
-        rows = {r["f"]: r["n"] for r in counts}
-        sums = {r["f"]: r["s"] for r in self.spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_name").alias("f"), F.sha2("content", 256).alias("s")).collect()}
+        first = schema.column(schema.key[0])
+        bound = (lambda f: f(F.col(f"`{first.name}`")).cast("string")) if first.type.name in PRUNED else (lambda f: F.lit(None).cast("string"))
+        counts = self.spark.read.schema(schema.ddl).parquet(*paths).groupBy(F.col("_metadata.file_name").alias("f"))
+        about = {r["f"]: r for r in counts.agg(F.count("*").alias("n"), bound(F.min).alias("low"), bound(F.max).alias("high")).collect()}
+        sums = self.digests(paths)
         short = lambda f: f.rsplit("/", 1)[1]
-        return [{"path": f, "rows": rows[short(f)], "sha256": sums[short(f)]} for f in files if rows.get(short(f))]
+        return [{"path": f, "rows": about[short(f)]["n"], "low": about[short(f)]["low"], "high": about[short(f)]["high"], "sha256": sums[short(f)]} for f in files if short(f) in about]
+
+    def digests(self, paths: Sequence[str]) -> dict[str, str]:
+        """SHA-256 of files by name. A file too large for one value is read in blocks."""
+        if max(os.path.getsize(p) for p in paths) <= FILE_BYTES * 2:
+            read = self.spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_name").alias("f"), F.sha2("content", 256).alias("s"))
+        else:
+            read = self.spark.createDataFrame([(p,) for p in paths], "p string").repartition(len(paths), "p").mapInPandas(_file_digests, "f string, s string")
+        return {r["f"]: r["s"] for r in read.collect()}
 
     # -- versions ------------------------------------------------------------------------------------------------------
 
@@ -205,6 +233,18 @@ class Engine:
         return merge.diff_rows(self.table_at(table, old), self.table_at(table, new), key)
 
 
+def _file_digests(frames):
+    """The name and SHA-256 of each file of a column of paths."""
+    import hashlib
+
+    for frame in frames:
+        sums = []
+        for path in frame["p"]:
+            with open(path, "rb") as f:
+                sums.append(hashlib.file_digest(f, "sha256").hexdigest())
+        yield frame.assign(f=[p.rsplit("/", 1)[1] for p in frame["p"]], s=sums)[["f", "s"]]
+
+
 class Session:
     """One user's statements. A SELECT gives a lazy DataFrame that stays bound to the files of its snapshot."""
 
@@ -269,7 +309,7 @@ class Session:
     def _check_overlap(self, tx: Transaction, k: str, theirs: Sequence[str]) -> None:
         """First committer wins on rows and on values of unique keys."""
         state = tx.tables[k]
-        mine, other = (self.engine.edits(state, files, [("", 0)]) for files in (tx.changes[k], theirs))
+        mine, other = (self.engine.edits(state, files, [("", 0)], self.spark) for files in (tx.changes[k], theirs))
         key = state.schema.key
         if mine.join(other, overlay.same_key(mine, other, key), "left_semi").limit(1).count():
             raise ConflictError(f"rows of {state.name} were changed by another transaction")
@@ -327,54 +367,98 @@ class Session:
     def _rows_of(self, tables: dict[str, TableState], table: str) -> DataFrame:
         state = Engine._state(Snapshot("", 0, tables), table)
         own = self.tx.changes.get(table.lower(), []) if self.tx else []
-        held = self.engine.rows(state, own, self.tx.id if self.tx else "")
-        return held
+        return self.engine.rows(state, own, self.tx.id if self.tx else "", self.spark)
 
-    def _bind(self, text: str) -> None:
-        """Temporary views of the tables that a text names, and of the catalog."""
-        tables = self.tx.tables if self.tx else snapshot(self.store).tables
+    def _bind(self, text: str) -> bool:
+        """Temporary views of the tables that a text names, and of the catalog; whether one of them has an enum."""
+        tables = self._tables()
         words = {router.unquote(t).lower() for t in router.tokens(text)}
+        has_enum = False
         for k, state in tables.items():
             if k in words:
-                self._view(self._rows_of(tables, k), state.name)
+                rows = self._rows_of(self._pruned(tables, k, text), k)
+                enums = {c.name: c.type.values for c in state.schema.columns if c.type.name == "enum"}
+                if enums:  # the members go with the column to where it is sorted
+                    has_enum = True
+                    rows = rows.select(*[F.col(f"`{c}`").alias(c, metadata={"enum": list(enums[c])}) if c in enums else F.col(f"`{c}`") for c in rows.columns])
+                rows.createOrReplaceTempView(state.name)
         for name, rows in (("tables", self._show_tables), ("columns", self._all_columns)):
             if f"information_schema_{name}" in words:
-                self._view(rows(None, None), f"information_schema_{name}")
-
-    def _view(self, df: DataFrame, name: str) -> None:
-        DataFrame(df._jdf, self.spark).createOrReplaceTempView(name) if df.sparkSession is self.spark else self._adopt(df, name)
-
-    def _adopt(self, df: DataFrame, name: str) -> None:
-        plan = df._jdf.queryExecution().logical()
-        ours = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan)
-        DataFrame(ours, self.spark).createOrReplaceTempView(name)
+                rows(None, None).createOrReplaceTempView(f"information_schema_{name}")
+        return has_enum
+
+    def adopt(self, rows: DataFrame, name: str) -> None:
+        """A view of this session over rows of any."""
+        if rows.sparkSession is not self.spark:
+            plan = rows._jdf.queryExecution().logical()
+            rows = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
+        rows.createOrReplaceTempView(name)
+
+    def _pruned(self, tables: dict[str, TableState], k: str, text: str) -> dict[str, TableState]:
+        """The table with the base files alone that the conditions of a simple SELECT on its key can meet; edits are read as ever."""
+        state = tables[k]
+        first = state.schema.column(state.schema.key[0])
+        if len(state.files) < 2 or first.type.name not in PRUNED:
+            return tables
+        bounds = router.key_bounds(text, state.name, first.name)
+        value = (lambda x: x) if first.type.name == "date" else int
+        if bounds is None or (first.type.name != "date" and any(not re.fullmatch(r"-?\d+", x) for b in bounds for x in b if x is not None)):
+            return tables
+        if first.type.name == "date" and any(not re.fullmatch(r"\d{4}-\d\d-\d\d", x) for b in bounds for x in b if x is not None):
+            return tables
+
+        def meets(f: dict) -> bool:
+            if f.get("low") is None:
+                return True
+            low, high = value(f["low"]), value(f["high"])
+            return any((a is None or value(a) <= high) and (b is None or value(b) >= low) for a, b in bounds)
+
+        return tables | {k: replace(state, files=tuple(f for f in state.files if meets(f)))}
 
     def _sql(self, text: str, args: Sequence | None) -> DataFrame:
-        text = router.to_spark(text)
-        self._bind(text)
-        return self.spark.sql(self._enum_order(text), args=list(args)) if args else self.spark.sql(self._enum_order(text))
+        text = router.to_spark(text, self._outcome)
+        run = lambda t: self.spark.sql(t, args=list(args)) if args else self.spark.sql(t)
+        has_enum = self._bind(text if not args else router.filled(text, [literal(a) for a in args]))
+        made = run(text)
+        ordered = self._enum_order(text, made) if has_enum else text
+        return run(ordered) if ordered != text else made
+
+    def _outcome(self, transaction: str) -> str:
+        return self.store.outcome(transaction)
 
-    def _enum_order(self, text: str) -> str:
-        """A bare enum column in the outer ORDER BY is compared by its definition."""
+    @staticmethod
+    def _enum_order(text: str, made: DataFrame) -> str:
+        """Enum columns in the outer ORDER BY are compared by their definition. Which these are is read from the analysed plan."""
         at = router.find_top(text, "ORDER BY")
         if at < 0:
             return text
-        enums = {c.name.lower(): c.type for t in (self.tx.tables if self.tx else snapshot(self.store).tables).values() for c in t.schema.columns if c.type.name == "enum"}
+        plan = made._jdf.queryExecution().analyzed()
+        while (kind := plan.getClass().getSimpleName()) != "Sort":
+            if kind not in ("Project", "GlobalLimit", "LocalLimit", "Offset", "SubqueryAlias", "Distinct"):
+                return text
+            plan = plan.children().head()
         head, body = text[:at], re.sub(r"^ORDER\s+BY", "", text[at:], flags=re.I)
-        cut = router.find_top(body, "LIMIT")
-        body, rest = (body[:cut], body[cut:]) if cut >= 0 else (body, "")
-        items = []
-        for item in router.split_top(body):
-            m = re.match(rf"(?:\w+\.)?{router.NAME}(\s+(?:ASC|DESC))?$", item, re.I)
-            kind = enums.get((m[1] or m[2]).lower()) if m else None
-            if kind:
-                listed = ", ".join("'" + v.replace("'", "\\'") + "'" for v in kind.values)
-                name = item[: m.start(3)] if m[3] else item
-                item = f"array_position(array({listed}), {name}){m[3] or ''}"
-            items.append(item)
+        cuts = [c for c in (router.find_top(body, "LIMIT"), router.find_top(body, "OFFSET")) if c >= 0]
+        body, rest = (body[: min(cuts)], body[min(cuts) :]) if cuts else (body, "")
+        items = router.split_top(body)
+        if plan.order().size() != len(items):
+            return text
+        for i, item in enumerate(items):
+            column = plan.order().apply(i).child()
+            if column.getClass().getSimpleName() != "AttributeReference" or not column.metadata().contains("enum"):
+                continue
+            listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in column.metadata().getStringArray("enum"))
+            m = re.match(r"(.*?)(\s+(?:ASC|DESC))?(\s+NULLS\s+(?:FIRST|LAST))?\s*$", item, re.I | re.S)
+            name = f"`{column.name()}`" if m[1].strip().isdigit() else m[1]
+            items[i] = f"array_position(array({listed}), {name}){m[2] or ''}{m[3] or ''}"
         return f"{head}ORDER BY {', '.join(items)} {rest}"
 
     def _select(self, s: Statement, args) -> DataFrame:
+        counted = re.fullmatch(rf"SELECT\s+COUNT\s*\(\s*\*\s*\)(?:\s+(?:AS\s+)?{router.NAME})?\s+FROM\s+{router.NAME}", s.args["text"].strip(), re.I)
+        if counted:
+            state = self._tables().get((counted[3] or counted[4]).lower())
+            if state and not state.changes and not (self.tx and self.tx.changes.get(state.name.lower())):
+                return self.spark.createDataFrame([(sum(f["rows"] for f in state.files),)], f"`{counted[1] or counted[2] or 'count(1)'}` bigint")
         return self._sql(s.args["text"], args)
 
     def _explain(self, s: Statement, args) -> DataFrame:
@@ -382,9 +466,7 @@ class Session:
         if inner.kind == "select":
             df = self._sql(inner.args["text"], args)
         else:
-            df = self.rows(inner.table)
-            if inner.kind in ("update", "delete"):
-                df = df.where(F.expr(router.to_spark(inner.args["where"])))
+            df = self._sql(f"SELECT * FROM `{inner.table}` WHERE {inner.args['where']}", args) if inner.kind in ("update", "delete") else self.rows(inner.table)
         text = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return self.spark.createDataFrame([(line,) for line in text.splitlines()], "plan string")
 
@@ -449,33 +531,51 @@ class Session:
         rows = edits.select(*state.schema.names, "_op", F.lit(seq).cast("long").alias("_seq"), F.lit(self.tx.id).alias("_tx"))
         rows.write.parquet(self.store.path(folder))
         files = self.store.written(folder)
-        return files, self.engine.spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files]) if files else rows
+        return files, self.spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files]) if files else rows
 
-    def _apply(self, state: TableState, edits: DataFrame, checked) -> None:
-        """Writes edits, checks the written rows, and lets them belong to the transaction only if they pass."""
+    def _apply(self, state: TableState, edits: DataFrame, checked) -> int:
+        """Writes edits, checks the written rows, and lets them belong to the transaction only if they pass. Gives the rows put."""
         files, written = self._materialise(state, edits)
-        checked(written.where("_op = 'put'").select(*state.schema.names), written.where("_op = 'del'").select(*state.schema.key))
+        n = checked(written) if files else 0
         if files:
             self.tx.changes.setdefault(state.name.lower(), []).extend(files)
         self.tx.statements += 1
+        return n
 
-    def _check(self, state: TableState, current: DataFrame):
-        """A check of new rows against the table without the keys that the statement removes."""
+    def _check(self, state: TableState, current: DataFrame, gone: DataFrame | None = None, changed: Sequence[str] | None = None):
+        """A check of written edits against the table without the keys that the statement removes (gone, and its deletions).
+
+        One query counts the rows and what is wrong in them; a second looks for clashes of the keys that hold a changed
+        column (None: all).
+        """
         schema = state.schema
 
-        def run(new: DataFrame, gone: DataFrame) -> None:
-            if constraints.null_keys(new, [c.name for c in schema.columns if not c.nullable]).limit(1).count():
-                raise ConstraintError(f"a NOT NULL column of {state.name} is null")
-            if constraints.nan_keys(new, schema.key).limit(1).count():
-                raise ConstraintError("NaN cannot be a key")
+        def run(written: DataFrame) -> int:
+            new = written.where("_op = 'put'").select(*schema.names)
+            wrong = {f"a NOT NULL column of {state.name} is null": constraints.any_null([c.name for c in schema.columns if not c.nullable])}
+            wrong["NaN cannot be a key"] = constraints.any_nan(new, schema.key)
             for c in schema.checks:
-                if c.enforced and constraints.check_violations(new, router.to_spark(c.predicate)).limit(1).count():
-                    raise ConstraintError(f"check {c.name} of {state.name} is violated")
-            rest = current.join(gone, overlay.same_key(current, gone, schema.key), "left_anti")
-            for name, columns in [("PRIMARY", schema.key), *[(i.name, i.columns) for i in schema.indexes if i.unique]]:
-                whole = new.dropna(subset=list(columns))
-                if constraints.duplicate_keys(whole, columns).limit(1).count() or constraints.existing_keys(whole, rest, columns).limit(1).count():
-                    raise ConstraintError(f"duplicate entry for key {name} of {state.name}")
+                if c.enforced:
+                    wrong[f"check {c.name} of {state.name} is violated"] = ~F.coalesce(F.expr(router.to_spark(c.predicate)), F.lit(True))
+            found = new.agg(F.count("*").alias("n"), *[F.count(F.when(w, 1)).alias(f"w{i}") for i, w in enumerate(wrong.values())]).first()
+            for i, what in enumerate(wrong):
+                if found[f"w{i}"]:
+                    raise ConstraintError(what)
+            keys = [("PRIMARY", schema.key), *[(i.name, i.columns) for i in schema.indexes if i.unique]]
+            keys = [(name, columns) for name, columns in keys if changed is None or not set(changed).isdisjoint(columns)]
+            if keys and found["n"]:
+                left = written.where("_op = 'del'").select(*schema.key) if gone is None else gone
+                rest = current.join(left, overlay.same_key(current, left, schema.key), "left_anti")
+                clashes = None
+                for name, columns in keys:
+                    whole = new.dropna(subset=list(columns))
+                    for bad in (constraints.duplicate_keys(whole, columns), constraints.existing_keys(whole, rest, columns)):
+                        one = bad.select(F.lit(name).alias("name")).limit(1)
+                        clashes = one if clashes is None else clashes.unionByName(one)
+                clash = clashes.limit(1).collect()
+                if clash:
+                    raise ConstraintError(f"duplicate entry for key {clash[0]['name']} of {state.name}")
+            return found["n"]
 
         return run
 
@@ -516,9 +616,7 @@ class Session:
         else:
             edits = rows
         made = edits.select(*schema.names, F.lit("put").alias("_op"))
-        before = self._written(state)
-        self._apply(state, made, self._check(state, current))
-        return self._new_rows(state, before)
+        return self._apply(state, made, self._check(state, current, current.select(*schema.key).limit(0)))
 
     def _unclaimed(self, rows: DataFrame, current: DataFrame, columns) -> DataFrame:
         """Rows whose unique values nobody has; of several new ones, the first. Nulls claim nothing."""
@@ -532,16 +630,7 @@ class Session:
         """Evaluates rows once: they are read several times and may not be the same twice."""
         folder = self.store.new_folder("changes", state.name)
         rows.write.parquet(self.store.path(folder))
-        return self.engine.spark.read.schema(f"{state.schema.ddl}, `_at` bigint").parquet(self.store.path(folder))
-
-    def _written(self, state: TableState) -> int:
-        return len(self.tx.changes.get(state.name.lower(), []))
-
-    def _new_rows(self, state: TableState, before: int, op: str = "put") -> int:
-        files = self.tx.changes.get(state.name.lower(), [])[before:]
-        if not files:
-            return 0
-        return self.engine.spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files]).where(F.col("_op") == op).count()
+        return self.spark.read.schema(f"{state.schema.ddl}, `_at` bigint").parquet(self.store.path(folder))
 
     def _upsert(self, s: Statement, state: TableState, rows: DataFrame, current: DataFrame) -> int:
         schema = state.schema
@@ -555,60 +644,36 @@ class Session:
         changed = changed.where(~F.struct(*schema.names).eqNullSafe(F.col("_old"))).select(*schema.names)
         gone = touched.select(*schema.key)
         edits = self._stored(changed, schema).select("*", F.lit("put").alias("_op"))
-        before, check = self._written(state), self._check(state, current)
-        self._apply(state, edits, lambda new, _: check(new, gone))
-        return self._new_rows(state, before)
+        return self._apply(state, edits, self._check(state, current, gone))
 
     def _update(self, s: Statement, state: TableState, args) -> int:
         schema, current = state.schema, self._rows_of(self.tx.tables, state.name)
-        for c in s.args["set"]:
-            schema.column(c)
-        where, *values = self._expressions([s.args["where"], *s.args["set"].values()], state, current, args)
-        names = [schema.column(c).name for c in s.args["set"]]
-        assigned = dict(zip(names, values, strict=True))
-        hit = current.where(F.coalesce(where, F.lit(False)))
-        new = [schema.column(n).type.store(assigned[n]).cast(schema.column(n).type.spark).alias(n) if n in assigned else F.col(n) for n in schema.names]
+        set_ = {schema.column(c).name: v for c, v in s.args["set"].items()}
+        values = [schema.column(c).default or "NULL" if v.strip().upper() == "DEFAULT" else v for c, v in set_.items()]
+        made = "".join(f", ({v}) AS `_v{i}`" for i, v in enumerate(values))
+        hit = self._sql(f"SELECT `{state.name}`.*{made} FROM `{state.name}` WHERE {s.args['where']}", args)
+        value = {c: schema.column(c).type.store(F.col(f"_v{i}")).cast(schema.column(c).type.spark) for i, c in enumerate(set_)}
+        new = [value[n].alias(n) if n in value else F.col(f"`{n}`") for n in schema.names]
         pairs = hit.select(F.struct(*schema.names).alias("old"), F.struct(*new).alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
-        put = pairs.select("new.*").select("*", F.lit("put").alias("_op"))
+        edits = pairs.select("new.*").select("*", F.lit("put").alias("_op"))
+        if set(value).isdisjoint(schema.key):
+            gone = pairs.select(*[F.col(f"old.{k}").alias(k) for k in schema.key]) if not set(value).isdisjoint(c for i in schema.indexes if i.unique for c in i.columns) else None
+            return self._apply(state, edits, self._check(state, current, gone, list(value)))
         moved = F.lit(False)
         for k in schema.key:
             moved = moved | ~F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
-        gone = pairs.where(moved).select(*[F.col(f"old.{k}").alias(k) for k in schema.key])
-        edits = put.unionByName(overlay.deletions(gone, current, schema.key).select(*schema.names, "_op"))
+        left = pairs.where(moved).select(*[F.col(f"old.{k}").alias(k) for k in schema.key])
         # a key that one row leaves and another takes keeps the row: the put of a statement wins over its deletion
-        edits = edits.withColumn("_rank", F.when(F.col("_op") == "put", 1).otherwise(0))
-        taken = put.select(*[F.col(k).alias(k) for k in schema.key])
-        deletions = edits.where("_op = 'del'").drop("_rank")
+        taken = pairs.select(*[F.col(f"new.{k}").alias(k) for k in schema.key])
+        deletions = overlay.deletions(left, current, schema.key).select(*schema.names, "_op")
         deletions = deletions.join(taken, overlay.same_key(deletions, taken, schema.key), "left_anti")
-        edits = edits.where("_op = 'put'").drop("_rank").unionByName(deletions)
         old_keys = pairs.select(*[F.col(f"old.{k}").alias(k) for k in schema.key])
-        before, check = self._written(state), self._check(state, current)
-        self._apply(state, edits, lambda new, _: check(new, old_keys))
-        return self._new_rows(state, before)
-
-    def _expressions(self, texts: Sequence[str], state: TableState, current: DataFrame, args) -> list:
-        """Expressions over a table; positional arguments are counted in the order of SET, then WHERE."""
-        where, *values = texts
-        left = list(args or ())
-
-        def bound(text: str):
-            n = sum(t == "?" for t in router.tokens(text))
-            mine, left[:] = left[:n], left[n:]
-            out, it = "", iter(mine)
-            for t in router.tokens(router.to_spark(text), spaces=True):
-                out += literal(next(it)) if t == "?" else t
-            return F.expr(out)
-
-        made = [bound(v) for v in values]
-        return [bound(where), *made]
+        return self._apply(state, edits.unionByName(deletions), self._check(state, current, old_keys, list(value)))
 
     def _delete(self, s: Statement, state: TableState, args) -> int:
         schema, current = state.schema, self._rows_of(self.tx.tables, state.name)
-        (where,) = self._expressions([s.args["where"]], state, current, args)
-        keys = current.where(F.coalesce(where, F.lit(False))).select(*schema.key)
-        before = self._written(state)
-        self._apply(state, overlay.deletions(keys, current, schema.key).select(*schema.names, "_op"), lambda new, gone: None)
-        return self._new_rows(state, before, "del")
+        keys = self._sql(f"SELECT {', '.join(f'`{k}`' for k in schema.key)} FROM `{state.name}` WHERE {s.args['where']}", args)
+        return self._apply(state, overlay.deletions(keys, current, schema.key).select(*schema.names, "_op"), lambda written: written.count())
 
     # -- definitions ---------------------------------------------------------------------------------------------------
 

@@ -23,6 +23,6 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
 
 def import_table(session, table: str, rows: DataFrame) -> int:
     """INSERT of a DataFrame into a table of a session, with all its checks."""
-    rows.createOrReplaceTempView("vellum_import") if rows.sparkSession is session.spark else session._adopt(rows, "vellum_import")
+    session.adopt(rows, "vellum_import")
     columns = ", ".join(f"`{c}`" for c in rows.columns)
     return session.execute(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM vellum_import")
