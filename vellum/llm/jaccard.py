@@ -2,10 +2,10 @@
 
 Bands and rows follow from a target recall at the threshold (``plan_bands``). Texts are joined, not documents: copies are
 one node with a count. Texts that share a band hash (a bucket) are linked to the least of them, never to each other, and the
-connected components of these links are groups. A group of few blocks is verified whole: its n-gram sets are compared block
-by block by counting common n-grams in matrix products. A group of more blocks than there are bands (a long chain of texts,
-say) is verified bucket by bucket, blocks inside the large buckets only, where a pair counts in the first band that
-it shares; so a text is sent at most as often as it has bands, times the blocks of its buckets. No pair is ever a row.
+connected components of these links are groups. A group is verified whole: its n-gram sets are compared block by block by
+counting common n-grams in matrix products; or, where that sends fewer rows (of a long chain of texts, say), bucket by bucket,
+where a pair counts in the first band that it shares. So a text is sent no more often than there are blocks in its buckets. No
+pair is ever a row.
 Verified links are counted per text, and a spanning forest of them makes the classes.
 
 Words are as in ``[^\\x20\\x09-\\x0D]+``, n-grams are held as 64-bit hashes. A text of fewer words than n has one n-gram: all
@@ -33,7 +33,7 @@ from vellum.llm.common import join_split, mix, raw, ship, slices, stage, window_
 from vellum.llm.components import connected_components
 
 #: Texts, and n-grams, of a block in the comparison of a group.
-BLOCK_TEXTS, BLOCK_GRAMS = 512, 1 << 20
+BLOCK_TEXTS, BLOCK_GRAMS = 128, 1 << 19
 
 
 #: Hash functions of a signature at most.
@@ -228,16 +228,15 @@ def _blocks(n, grams):
     return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(grams) / BLOCK_GRAMS)).cast("int")
 
 
-def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, whole_blocks: int | None = None) -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, whole: bool | None = None) -> DataFrame:
     """A row a distinct text: h1, h2, least (doc_id, of a null one h1), copies, n_links, n_linked_docs, class_id and is_first (of its class).
 
-    whole_blocks: groups of up to so many blocks are verified whole, others by buckets (None: the number of bands).
+    whole: groups are verified whole, or by buckets (None: each by what sends fewer rows).
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = plan_bands(threshold, recall)
-    whole_blocks = bands if whole_blocks is None else whole_blocks
     src = keyed(docs)
     signed = src.mapInArrow(_signatures(n, bands, rows), "doc_id long, h1 long, h2 long, bands array<long>, grams long")
     texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
@@ -254,14 +253,16 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
 
     sized = groups.join(texts.select("node", "grams"), "node")
     sizes = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("w"))
-    sizes = sizes.select("component", "n", _blocks("n", "w").alias("blocks"))
+    by_bucket = buckets.join(groups.withColumnRenamed("node", "hub"), "hub").groupBy("component").agg(F.sum(F.col("n") * _blocks("n", "w")).alias("sent"))
+    is_whole = (F.col("n") * F.col("blocks") <= F.col("sent")) if whole is None else F.lit(whole)
+    sizes = sizes.join(by_bucket, "component").withColumn("blocks", _blocks("n", "w")).select("component", "n", "blocks", is_whole.alias("whole"))
     n_grouped = groups.count()
     sized = stage(join_split(groups, sizes, ["component"], "n", n_grouped), "groups")
 
     # parts of the comparison: part, hash and band (-1: a whole group) with the blocks of each
-    small = sized.where(F.col("blocks") <= whole_blocks)
+    small = sized.where("whole")
     about = small.select("node", F.array(F.struct(F.col("component").alias("part"), F.lit(0).cast("long").alias("hash"), F.lit(-1).alias("band"), "blocks")).alias("parts"))
-    large = sized.where(F.col("blocks") > whole_blocks).select("node")
+    large = sized.where("not whole").select("node")
     shared = buckets.select("band", "hash", "n", _blocks("n", "w").alias("blocks"))
     own = join_split(members.join(large, "node").select("node", "band", "hash"), shared, ["band", "hash"], "n", total)
     own = own.groupBy("node").agg(F.collect_list(F.struct(F.lit(-1).cast("long").alias("part"), "hash", "band", "blocks")).alias("parts"))
@@ -289,13 +290,13 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     return stage(out.select("h1", "h2", "least", "copies", zero("n_links"), zero("n_linked_docs"), F.coalesce("first.least", "least").alias("class_id"), is_first), "about")
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, whole_blocks: int | None = None) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, whole: bool | None = None) -> DataFrame:
     """A row a document: doc_id, class_id, text_id, n_copies, n_links, n_linked_docs.
 
     class_id is the least doc_id of the documents connected by links; text_id the least of the copies of its text; n_links counts
     other texts of similarity threshold or more, n_linked_docs the documents that hold these.
     """
-    about = classes(docs, n, threshold, recall, whole_blocks).withColumn("n_copies", F.col("copies")).drop("is_first")
+    about = classes(docs, n, threshold, recall, whole).withColumn("n_copies", F.col("copies")).drop("is_first")
     total = about.agg(F.sum("copies")).first()[0] or 0
     rows = join_split(keyed(docs).select("doc_id", "h1", "h2"), about, ["h1", "h2"], "copies", total)
     return rows.select("doc_id", "class_id", F.col("least").alias("text_id"), "n_copies", "n_links", "n_linked_docs")
