@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from vellum import sync as exchange
 from vellum.check import check
+from vellum.server import Server
 from vellum.session import Engine
 from vellum.sources.store import Store
 
@@ -41,6 +42,10 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("resolve", help="resolve a conflict")
     r.add_argument("id")
     r.add_argument("choice", choices=("local", "remote", "base", "delete"))
+    w = sub.add_parser("start", help="serve sessions on a port until interrupted")
+    w.add_argument("--host", default="127.0.0.1")
+    w.add_argument("--port", type=int, default=7433)
+    w.add_argument("--read-only", action="store_true")
     q = sub.add_parser("sql", help="run statements, separated by semicolons at line ends")
     q.add_argument("text")
     return p
@@ -87,6 +92,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         for c in result.conflicts:
             say("conflict", c["id"])
         return 0 if not result.conflicts else 2
+    elif a.command == "start":
+        with Server(engine, a.host, a.port, a.read_only) as server:
+            say(f"serving {store.root} on {a.host}:{server.port}")
+            try:
+                server.serve_forever()
+            except KeyboardInterrupt:
+                return 0
     elif a.command == "sql":
         session = engine.session()
         for text in [t.strip() for t in a.text.split(";\n") if t.strip()]:

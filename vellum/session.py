@@ -12,7 +12,7 @@ import re
 import time
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +23,11 @@ from vellum.functions.dialect import DialectError
 from vellum.operators import constraints, ddl, dml, merge, overlay
 from vellum.plans import router
 from vellum.plans.router import Statement
-from vellum.sources.store import ConflictError, Store
+from vellum.sources.store import ConflictError, Store, copy_file, copy_files
 
 MODES = ("journal", "audit")
-#: Bytes of a base file; transactions whose order is written in the plan (of more it is joined).
-FILE_BYTES, LITERAL_ORDER = 128 << 20, 100
+#: Bytes of a base file; transactions whose order is written in the plan (of more it is joined); files that tasks copy.
+FILE_BYTES, LITERAL_ORDER, DISTRIBUTED_COPIES = 128 << 20, 100, 64
 #: Types of a first key column whose range is kept for each file: their text says all, and compares as the column does.
 PRUNED = frozenset("tinyint smallint mediumint int bigint date".split())
 _STATEMENT_META = "`_op` string, `_seq` bigint, `_tx` string"
@@ -61,10 +61,14 @@ class Snapshot:
 
 def snapshot(store: Store, version: str | None = None, journal: bool = True) -> Snapshot:
     """The state at a version; with its journal if it is the head."""
-    head = store.version(version) if version else store.head()
+    while True:
+        head = store.version(version) if version else store.head()
+        entries = store.journal(head.id) if journal else []
+        if version or store.ref("data") == head.id:  # else its journal may be gone already
+            break
     tables = {k: TableState(t["name"], Schema.from_json(t["schema"]), tuple(t["files"])) for k, t in head.tables.items()}
     generation = 0
-    for e in store.journal(head.id) if journal else ():
+    for e in entries:
         generation = e["generation"]
         for k, t in e["tables"].items():
             if t.get("dropped"):
@@ -89,6 +93,29 @@ class Transaction:
     formed: dict[str, dict] = field(default_factory=dict)  # table -> new form or dropped
 
 
+@dataclass
+class Work:
+    """What an engine and its sessions have done; all numbers are counted on the driver, none costs a job."""
+
+    queries: int = 0
+    statements: int = 0
+    rows_changed: int = 0
+    commits: int = 0
+    conflicts: int = 0
+    rollbacks: int = 0
+    checkpoints: int = 0
+    files_read: int = 0
+    files_pruned: int = 0
+    files_written: int = 0
+    files_kept: int = 0
+
+    def since(self, before: Work) -> Work:
+        return Work(**{f.name: getattr(self, f.name) - getattr(before, f.name) for f in fields(self)})
+
+    def copy(self) -> Work:
+        return replace(self)
+
+
 class Engine:
     """A store, a Spark session and a mode: journal (edits since a version) or audit (a version a transaction)."""
 
@@ -96,6 +123,15 @@ class Engine:
         if mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
         self.store, self.spark, self.mode, self.closed = store, spark, mode, False
+        self.work = Work()
+        store.copier = self._copy
+
+    def _copy(self, pairs: list[tuple[str, str]]) -> None:
+        """Copies files by tasks, where there are many; the folders must be mounted by all executors."""
+        if len(pairs) < DISTRIBUTED_COPIES:
+            copy_files(pairs)
+        else:
+            self.spark.createDataFrame(pairs, "a string, b string").repartition(min(len(pairs), 1000)).mapInPandas(_copied, "n bigint").count()
 
     def session(self) -> Session:
         return Session(self)
@@ -139,7 +175,10 @@ class Engine:
         parts = self._parts(rows)
         ranged = rows.repartitionByRange(parts, *schema.key) if parts > 1 else rows.coalesce(1)
         ranged.sortWithinPartitions(*schema.key).write.parquet(self.store.path(folder))
-        return self.describe_files(self.store.written(folder), schema)
+        made = self.store.written(folder)
+        self.store.flush(made)
+        self.work.files_written += len(made)
+        return self.describe_files(made, schema)
 
     def _parts(self, rows: DataFrame) -> int:
         """Files for rows, by the bytes that they are read from; as many as shuffle partitions where Spark cannot tell these."""
@@ -179,6 +218,7 @@ class Engine:
                 return now.version
             done = tuple(e["tx"] for e in self.store.journal(now.version))
             tables = {k: self._folded(s) for k, s in now.tables.items()}
+            self.work.checkpoints += 1
             return self.store.publish((now.version,), message, tables, done, expected=now.version)
 
     def _folded(self, state: TableState) -> dict:
@@ -194,7 +234,9 @@ class Engine:
             rewrite = [f for f in files if tail(f["path"]) in touched]
             part = replace(state, files=tuple(rewrite))
             fresh = self.write_base(state.name, self.rows(part), state.schema)
-            files = [f for f in files if tail(f["path"]) not in touched] + fresh
+            files = [f for f in files if tail(f["path"]) not in touched]
+            self.work.files_kept += len(files)
+            files += fresh
         return {"name": state.name, "schema": state.schema.to_json(), "files": files, "rows": sum(f["rows"] for f in files)}
 
     def row_count(self, table: str) -> tuple[int, bool]:
@@ -233,6 +275,13 @@ class Engine:
         return merge.diff_rows(self.table_at(table, old), self.table_at(table, new), key)
 
 
+def _copied(frames):
+    for frame in frames:
+        for a, b in zip(frame["a"], frame["b"], strict=True):
+            copy_file(a, b)
+        yield frame.assign(n=1)[["n"]]
+
+
 def _file_digests(frames):
     """The name and SHA-256 of each file of a column of paths."""
     import hashlib
@@ -279,10 +328,13 @@ class Session:
                 self._commit_journal(tx)
         except ConflictError:
             self.store.reject(tx.id)
+            self.engine.work.conflicts += 1
             raise
+        self.engine.work.commits += 1
         return tx.id
 
     def rollback(self) -> None:
+        self.engine.work.rollbacks += self.tx is not None
         self.tx = None
 
     def _entry(self, tx: Transaction) -> dict:
@@ -339,11 +391,13 @@ class Session:
         handler = getattr(self, f"_{s.kind}", None)
         if s.kind not in ("select", "explain", "describe", "show_tables", "show_databases", "show_create", "show_index"):
             raise DialectError("not a query; use execute")
+        self.engine.work.queries += 1
         return handler(s, args)
 
     def execute(self, text: str, args: Sequence | None = None) -> int:
         """A statement that changes something; gives the number of rows it changed."""
         s = router.parse(text)
+        self.engine.work.statements += 1
         if s.kind == "begin":
             self.begin(s.args["read_only"])
         elif s.kind in ("commit", "rollback"):
@@ -376,7 +430,10 @@ class Session:
         has_enum = False
         for k, state in tables.items():
             if k in words:
-                rows = self._rows_of(self._pruned(tables, k, text), k)
+                seen = self._pruned(tables, k, text)
+                self.engine.work.files_read += len(seen[k].files)
+                self.engine.work.files_pruned += len(state.files) - len(seen[k].files)
+                rows = self._rows_of(seen, k)
                 enums = {c.name: c.type.values for c in state.schema.columns if c.type.name == "enum"}
                 if enums:  # the members go with the column to where it is sorted
                     has_enum = True
@@ -519,6 +576,7 @@ class Session:
             raise
         if alone:
             self.commit()
+        self.engine.work.rows_changed += n
         return n
 
     def _stored(self, rows: DataFrame, schema: Schema) -> DataFrame:
@@ -531,6 +589,8 @@ class Session:
         rows = edits.select(*state.schema.names, "_op", F.lit(seq).cast("long").alias("_seq"), F.lit(self.tx.id).alias("_tx"))
         rows.write.parquet(self.store.path(folder))
         files = self.store.written(folder)
+        self.store.flush(files)
+        self.engine.work.files_written += len(files)
         return files, self.spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files]) if files else rows
 
     def _apply(self, state: TableState, edits: DataFrame, checked) -> int:
