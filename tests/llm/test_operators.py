@@ -476,6 +476,17 @@ def test_the_template_decides(spark):
     assert got[9] == "The Daily Page Today story 9 is told in two parts 9 Written by hand"
 
 
+def test_the_template_names_the_holder(spark):
+    """No article, no names that tell, and parts beside the main text that vary from page to page."""
+    page = '<body><div class="alpha">Menu {i} of today</div><div class="beta"><h1>Head {i}</h1><p>A long story {i} with many words in it, {more}</p></div><div class="gamma">Also read {j}</div></body>'
+    make = lambda i: page.format(i=i, j=i * 7 % 50, more="and more words to tell " * 8)
+    rows = [(i, "http://h.example/", make(i)) for i in range(30)] + [(99, "http://h.example/odd", "<body><p>Other form</p></body>")]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    tail = ("and more words to tell " * 8).strip()
+    assert got == {i: f"Head {i} A long story {i} with many words in it, {tail}" for i in range(30)} | {99: "Other form"}
+    assert pages.extract(make(3), set()) == f"Menu 3 of today Head 3 A long story 3 with many words in it, {tail} Also read 21"
+
+
 def test_hostile_pages_take_linear_time():
     import time
 

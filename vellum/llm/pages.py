@@ -5,11 +5,12 @@ between two block tags, with the names of the elements that hold it). Tokens of
 same count on every distinct page - form an equivalence class. A vector is compared by the sum over pages of a hash of
 (page, count), so that it is aggregated like any sum and no host's pages have to meet. A class is valid if its tags keep one
 order, repeated as a whole, on every page. Valid classes nest into the host's template: the elements they open and close. What
-lies between is slots. A text token is part of the template, and no content of a slot, if it is on every page of the host
+lies between is slots, each at its place: inside a template element. A text token is part of the template, and no content of a slot, if it is on every page of the host
 or shares its class with tags of the template, and is on over half of the host's distinct pages, three at least. A slot is
-main text if its content varies, an article or main element holds it (where there is none, or only text of the template
-in it: the body), and no element around it is a menu, a form, an advert and so on. The text of main slots is extracted in
-page order.
+main text if its content varies, an article or main element holds it, and no element around it is a menu, a form, an advert and
+so on. Where a page has no such element the template names the holder: the innermost of its elements that stand once on
+a page and hold MAIN_SHARE of the text of the host's pages. Where all text of the holder is template, all varying slots count. The text of
+main slots is extracted in page order.
 
 Hot hosts: vectors and orders are pre-aggregated in each task, and the pages of a host with more bytes than a partition's share
 (there are fewer such hosts than partitions) meet their template under as many salts as it has such shares.
@@ -40,6 +41,8 @@ from vellum.llm.common import ship, slices, stage
 SUPPORT = 0.1
 #: A text must be on so many distinct pages, and on more than this share of them, to belong to the template.
 TEXT_PAGES, TEXT_SHARE = 3, 0.5
+#: What the holder of the main text has of the host's text, at least.
+MAIN_SHARE = 0.7
 
 #: Quoted values may hold ">". A tag, comment or element that is never closed goes on to the end of the page, so every
 #: character is read a bounded number of times; nothing is tried again (possessive repeats).
@@ -54,6 +57,8 @@ MAIN = frozenset(["article", "main"])
 #: Elements that are no part of a text's place: they may be left open, or out.
 FORMULA = frozenset("math semantics annotation mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup mover munder munderover mtable mtr mtd mstyle mpadded mphantom".split())
 LOOSE = INLINE | FORMULA | frozenset("html body p li dt dd thead tbody tfoot tr td th option".split())
+#: Elements that can hold the main text of a page.
+HOLDERS = frozenset("div section td center blockquote".split())
 #: Elements, and names of a class, id or role, that are not main text.
 ASIDE = frozenset("head title nav footer aside form button select option label menu dialog datalist fieldset".split())
 #: Elements of these may be put around a whole page.
@@ -158,9 +163,9 @@ def walk(page: str) -> Iterator[tuple[int, int, str, str, int]]:
             yield start, at, "open", token, 0
 
 
-def scan(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """Kind ("open", "close", "text"), token, text (of a tag: "aside" in one) and whether a main element holds it.
-    Texts of asides are left out. A text's token is a hash of its place and itself."""
+def scan(page: str, holder: str = "") -> Iterator[tuple[str, str, str, bool]]:
+    """Kind ("open", "close", "text"), token, text (of a tag: "aside" in one) and whether a main element - or, if given, an element
+    of the token holder - holds it. Texts of asides are left out. A text's token is a hash of its place and itself."""
     stack: list[tuple[bytes, int, int]] = []  # hash of the place; asides and main elements around what follows
     held: list[str] = []
     where: tuple[bytes, bool] = (b"", False)
@@ -193,7 +198,7 @@ def scan(page: str) -> Iterator[tuple[str, str, str, bool]]:
             if name not in LOOSE:
                 place = blake2b(place + name.encode("utf-8", "replace"), digest_size=8).digest()
             aside += k in off
-            main += name in MAIN
+            main += token == holder if holder else name in MAIN
         elif kind == "close" and ends:
             place, aside, main = stack[-ends]
             del stack[-ends:]
@@ -202,14 +207,41 @@ def scan(page: str) -> Iterator[tuple[str, str, str, bool]]:
 
 
 def page_tokens(page: str) -> list[str]:
-    return [("/" if kind == "close" else "") + token for kind, token, _, _ in scan(page)]
-
-
-def extract(page: str, template: set[str]) -> str:
-    """Text of the main slots of a page. template: tokens of its host's valid classes and the texts of its template."""
+    """Tags and texts in page order, then for each holder (a token) that stands once on the page the characters in it, as
+    #token, a tab and the number; # alone is the page."""
+    out, total = [], 0
+    count: Counter[str] = Counter()
+    begun: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for kind, token, text, _ in scan(page):
+        out.append(("/" if kind == "close" else "") + token)
+        if kind == "text":
+            total += len(text)
+        elif token.partition(".")[0] in HOLDERS:
+            if kind == "open":
+                count[token] += 1
+                begun[token] = total
+            elif token in begun:
+                held[token] = total - begun[token]
+    return [*out, *(f"#{t}\t{n}" for t, n in held.items() if count[t] == 1), f"#\t{total}"]
+
+
+def choose_holder(slots: list[dict], tags: set[str]) -> str:
+    """The template element with the least text of those that hold MAIN_SHARE of it and are on over half of the pages; none: ""."""
+    total = next((x["chars"] for x in slots if x["t"] == ""), 0)
+    found = [x for x in slots if x["t"] in tags and x["chars"] >= MAIN_SHARE * total and 2 * x["pages"] > x["of"]]
+    return min(found, key=lambda x: (x["chars"], x["t"]))["t"] if found and total else ""
+
+
+def extract(page: str, template: set[str], holder: str = "") -> str:
+    """Text of the main slots of a page. template: tokens of its host's valid classes and the texts of its template; holder: the
+    token of the element that holds the main text where there is no article or main element."""
     items = list(scan(page))
     texts = [(token, text, inside) for kind, token, text, inside in items if kind == "text"]
     has_main = any(kind == "open" and not text and token.partition(".")[0] in MAIN for kind, token, text, _ in items)
+    if holder and not has_main:
+        texts = [(token, text, inside) for kind, token, text, inside in scan(page, holder) if kind == "text"]
+        has_main = any(x[2] for x in texts)
     inside = [x for x in texts if x[2]] if has_main else texts
     varying = [text for token, text, _ in inside if token not in template]
     if inside and not varying:  # the article is part of the template: the page's own text is elsewhere
@@ -243,6 +275,9 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for host, page, tokens in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("tokens").to_pylist(), strict=True):
             for token, n in Counter(tokens.split("\n")).items() if tokens else ():
+                if token[:1] == "#":  # characters in an element
+                    token, _, n = token.partition("\t")
+                    n = int(n)
                 x = held.setdefault((host, token), [0, 0, 0])
                 x[0] += 1
                 x[1] += n
@@ -306,15 +341,19 @@ def _under_all(hosts: DataFrame, hot: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, hot: DataFrame) -> DataFrame:
     """host, template (a JSON list of its valid classes' tags, each in its order) and texts (a JSON list of texts t that are on over half
-    of its pages, each with a tag of its class; none: on every page). pages: host, page (a long), html."""
+    of its pages, each with a tag of its class; none: on every page), and slots (a JSON list of the characters chars in each element t that
+    stands once on a page, over so many pages of the host's). pages: host, page (a long), html."""
     read = pages.select("host", "html").mapInArrow(_sequences, "host string, tokens string").where("tokens <> ''")
     tokens = stage(read.distinct().withColumn("page", F.xxhash64("tokens")), "tags")
     vectors = tokens.mapInArrow(_vectors, "host string, token string, pages long, total long, low long, high long")
     vectors = vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high")])
-    vectors = vectors.where(~F.col("token").startswith("=") | (F.col("pages") >= TEXT_PAGES))
+    vectors = stage(vectors.where(~F.col("token").startswith("=") | (F.col("pages") >= TEXT_PAGES)), "vectors")
+    sizes = tokens.groupBy("host").agg(F.count("*").alias("of"))
+    volumes = vectors.where(F.col("token").startswith("#")).select("host", F.expr("substring(token, 2)").alias("t"), F.col("total").alias("chars"), "pages")
+    slots = volumes.join(sizes, "host").groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("t", "chars", "pages", "of")))).alias("slots"))
+    vectors = vectors.where(~F.col("token").startswith("#"))
     # sums of halves, joined again modulo 2**64 by their own remainders
     sig = F.pmod(F.col("high") + F.shiftrightunsigned("low", 32), F.lit(1 << 32)) * (1 << 20) + F.pmod("low", F.lit(1 << 20))
-    sizes = tokens.groupBy("host").agg(F.count("*").alias("of"))
     classes = vectors.groupBy("host", "pages", "total", sig.alias("sig")).agg(F.sort_array(F.collect_list("token")).alias("class"))
     is_text = lambda x: x.startswith("=")
     classes = classes.withColumn("of_text", F.filter("class", is_text)).withColumn("class", F.filter("class", lambda x: ~is_text(x)))
@@ -330,22 +369,23 @@ def templates(pages: DataFrame, hot: DataFrame) -> DataFrame:
     orders = _salted(tokens, hot).join(_under_all(listed, hot), ["host", "salt"]).select("host", "tokens", "classes").mapInArrow(_orders, "host string, class int, order string")
     valid = orders.groupBy("host", "class").agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least = most and least <> ''")
     valid = valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.split("least", "\n")))).alias("template"))
-    return valid.join(texts, "host", "full")
+    return valid.join(texts, "host", "full").join(slots, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple[str | None, str | None], set[str]] = {}
+    known: dict[tuple[str | None, ...], tuple[set[str], str]] = {}
     for b in slices(batches, "html"):
         out = []
-        for page, *key in zip(*(b.column(c).to_pylist() for c in ("html", "template", "texts")), strict=True):
+        for page, *key in zip(*(b.column(c).to_pylist() for c in ("html", "template", "texts", "slots")), strict=True):
             own = known.get(tuple(key))
             if own is None:
                 if len(known) > 1000:
                     known.clear()
-                own = {t for c in json.loads(key[0] or "[]") for t in c}
-                own |= {x["t"] for x in json.loads(key[1] or "[]") if x.get("tag") is None or x["tag"] in own}
+                tags = {t for c in json.loads(key[0] or "[]") for t in c}
+                holder = choose_holder(json.loads(key[2] or "[]"), tags)
+                own = tags | {x["t"] for x in json.loads(key[1] or "[]") if x.get("tag") is None or x["tag"] in tags}, holder
                 known[tuple(key)] = own
-            out.append(extract(page or "", own))
+            out.append(extract(page or "", *own))
         yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -356,6 +396,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     src = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
     hot = hot_hosts(src)
     found = templates(src, hot)
-    joined = _salted(src, hot).join(_under_all(found, hot), ["host", "salt"], "left").select("page_id", "url", "html", "template", "texts")
+    joined = _salted(src, hot).join(_under_all(found, hot), ["host", "salt"], "left").select("page_id", "url", "html", "template", "texts", "slots")
     schema = joined.select("page_id", "url").withColumn("text", F.lit("")).schema
     return joined.mapInArrow(_extract, schema)
