@@ -227,8 +227,9 @@ class Engine:
             key = list(state.schema.key)
             edits = overlay.latest_per_key(self.edits(state, state.changes, state.order), key)
             touched: set[str] = set()
-            if files:
-                base = self.base_rows(state).select(*key, F.col("_metadata.file_path").alias("_file"))
+            near = self._near(state, edits)
+            if near:
+                base = self.base_rows(replace(state, files=tuple(near))).select(*key, F.col("_metadata.file_path").alias("_file"))
                 touched = {r["_file"].rsplit("/", 2)[-2] + "/" + r["_file"].rsplit("/", 1)[-1] for r in base.join(edits.select(*key), key, "left_semi").select("_file").distinct().collect()}
             tail = lambda p: "/".join(p.split("/")[-2:])
             rewrite = [f for f in files if tail(f["path"]) in touched]
@@ -239,6 +240,18 @@ class Engine:
             files += fresh
         return {"name": state.name, "schema": state.schema.to_json(), "files": files, "rows": sum(f["rows"] for f in files)}
 
+    def _near(self, state: TableState, edits: DataFrame) -> list[dict]:
+        """Base files whose range of the first key column holds an edited key; all of them where ranges are not known."""
+        first = state.schema.column(state.schema.key[0])
+        if first.type.name not in PRUNED or len(state.files) < 2 or any(f.get("low") is None for f in state.files):
+            return list(state.files)
+        kind = re.sub(r" COLLATE \w+", "", first.type.spark)
+        ranges = self.spark.createDataFrame([(n, f["low"], f["high"]) for n, f in enumerate(state.files)], "n int, low string, high string")
+        keys = edits.select(F.col(f"`{first.name}`").alias("k")).distinct()
+        met = keys.join(F.broadcast(ranges), F.col("k").between(F.col("low").cast(kind), F.col("high").cast(kind)), "inner")
+        wanted = {r["n"] for r in met.select("n").distinct().collect()}
+        return [f for n, f in enumerate(state.files) if n in wanted]
+
     def row_count(self, table: str) -> tuple[int, bool]:
         """Rows by the entries alone, and whether the number is exact (no edits are pending)."""
         state = self._state(snapshot(self.store), table)
