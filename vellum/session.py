@@ -678,7 +678,9 @@ class Session:
 
     def _insert(self, s: Statement, state: TableState, args) -> int:
         schema, current = state.schema, self._rows_of(self.tx.tables, state.name)
-        rows = self._held(self._source(s, state, args), state)
+        rows = self._source(s, state, args)
+        if s.args["ignore"] or s.args["updates"]:
+            rows = self._held(rows, state)
         if s.args["ignore"]:
             rows = dml.first_per_key(rows, schema.key, ["_at"])
             for columns in [schema.key, *[i.columns for i in schema.indexes if i.unique]]:
