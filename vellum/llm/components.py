@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import join_split, stage
 
-#: Edges that one task may hold of one node.
-LIMIT = 200
+#: Edges that one task may hold of one node; edges that are worth a task.
+LIMIT, TASK_EDGES = 200, 2000
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,23 +29,30 @@ def _star(edges: DataFrame, count: int) -> DataFrame:
     return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, count: int) -> DataFrame:
     """Edges have a > b; the smaller neighbours of a, and a, point at the least of them."""
     least = _least(edges)
-    moved = join_split(edges, least, ["a"], "n", edges.count(), least=LIMIT).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_split(edges, least, ["a"], "n", count, least=LIMIT).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _packed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Staged edges in no more partitions than they need, and their number."""
+    held = stage(edges, "edges")
+    n = held.count()
+    return held.coalesce(max(1, -(-n // TASK_EDGES))), n
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node that has an edge a - b; loops and repeated edges do not matter."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = stage(now, "edges")
+    now, n = _packed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         # a star forest: every a has one b, and no b is an a
         loose = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        chained = 0 if loose else now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        chained = 0 if loose else now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         if not loose and not chained:
             break
-        now = stage(_small(stage(_star(now, now.count()), "edges")), "edges")
+        now, n = _packed(_star(now, n))
+        now, n = _packed(_small(now, n))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
