@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # a star forest: every a has one b, and no b is an a
         loose = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        chained = 0 if loose else now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        chained = 0 if loose else now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         if not loose and not chained:
             break
         now, n = _packed(_star(now, n))
