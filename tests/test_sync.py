@@ -135,3 +135,21 @@ def test_changes_as_a_stream(spark, tmp_path):
     q = changes.stream(e, "t").writeStream.foreachBatch(changes.fold(e, "t", base, lambda df, n: seen.append(sorted(tuple(r) for r in df.collect())))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert seen[-1] == [(1, 9)]
+
+
+def test_a_strict_merge_reads_checks_of_the_dialect(two):
+    a, sa, b, sb = two
+    sa.execute("CREATE TABLE j (id BIGINT PRIMARY KEY, doc JSON, CHECK (JSON_EXTRACT(doc, '$.n') < 5))")
+    sa.execute("INSERT INTO j VALUES (1, '{\"n\": 1}'), (2, '{\"n\": 2}')")
+    a.checkpoint()
+    base = a.store.ref("data")
+    sa.execute("UPDATE j SET doc = '{\"n\": 3}' WHERE id = 1")
+    ours = a.checkpoint()
+    with a.store.lock():
+        a.store.set_ref("data", base)
+    sa.execute("UPDATE j SET doc = '{\"n\": 4}' WHERE id = 2")
+    theirs = a.checkpoint()
+    with a.store.lock():
+        a.store.set_ref("data", ours)
+    assert exchange.merge_versions(a, ours, theirs, {}, strict=True).state == "merged"
+    assert rows(a, "j") == [(1, '{"n":3}'), (2, '{"n":4}')]
