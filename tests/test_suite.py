@@ -36,7 +36,7 @@ def test_query(spark, db, name):
     want = db.sql(ORACLES[name])
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
-    assert got or name == "point_miss"
+    assert got or name in ("point_miss", "point_read")  # the key of point_read is in larger tables alone
     assert got == sorted([[plain(r[i]) for i in at] for r in want.fetchall()], key=str)
 
 
