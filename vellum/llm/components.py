@@ -54,5 +54,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         now, n = _packed(_star(now, n))
         now, n = _packed(_small(now, n))
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    both = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+    return now.select(F.explode(both).alias("x")).select("x.node", "x.component").distinct()
