@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import gather, raw, ship, slices
-from vellum.llm.tokens import ChunkMemo, chunked, rest
+from vellum.llm.tokens import ChunkMemo, chunked, odd_spacing, rest
 
 NONE = np.int32(2**31 - 1)
 LONG = 512
@@ -226,7 +226,8 @@ class Ranks:
         return ids, np.add.reduceat(lengths, np.flatnonzero(opens))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return chunked(texts, self.memo, self.texts)
+        texts = texts.fill_null("") if texts.null_count else texts
+        return chunked(texts, self.memo, odd_spacing(texts), self.texts)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of each run of ids."""

@@ -150,6 +150,11 @@ class ChunkMemo:
         return found
 
 
+def odd_spacing(texts: pa.Array) -> np.ndarray:
+    """Texts with any spacing but single spaces between other characters."""
+    return pc.match_substring_regex(texts, ODD_SPACING).to_numpy(zero_copy_only=False)
+
+
 def chunked(texts: pa.Array, memo: ChunkMemo, odd: np.ndarray, whole) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and row offsets. odd: texts that cannot be cut at spaces, which whole encodes."""
     counts = np.zeros(len(texts), np.int64)
