@@ -378,6 +378,23 @@ def test_topk(spark, monkeypatch):
     assert topk.search(none, none).count() == 0
 
 
+def test_topk_moves_queries_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
+    ints = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows}
+    want = {(i, n, j, -s) for i in ints if i % 10 == 0 for n, (s, j) in enumerate(sorted((-int(ints[i] @ w), j) for j, w in ints.items() if j != i)[:4], 1)}
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    q = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1024)
+    for most in (1 << 20, 600):  # one slice of queries, several
+        monkeypatch.setattr(topk, "SLICE_BYTES", most, raising=False)
+        found = topk.search(q, q.where("vec_id % 10 = 0"), 4)
+        assert {tuple(r) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan  # no copy of the query blocks for each partition
+        assert "Broadcast" not in plan  # nor do they go through the driver
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,9 @@ Vectors are integers by component ("terms"). A block of candidates keeps a posti
 block scatter query weight x posting into dense score arrays, term by term, and skip the terms they do not
 have. Each block selects its k best by partition, and the selections are merged.
 
-Candidates are packed in blocks of rows, queries in blocks too; every query block meets every candidate block through a
-join on a group number, so neither side has to fit in a broadcast and no pair of vectors is ever a row.
+Candidates are packed in blocks of rows, queries in blocks too; every query block meets every candidate block: query blocks are
+staged once and dealt into slices of bounded bytes, and each partition of candidates reads each slice. No block is copied, nothing
+is broadcast or collected, and no pair of vectors is ever a row.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 a missing component of a shorter vector counts as 0; rows that share the query's id are its own and no candidates;
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import ship
+from vellum.llm.common import ship, stage
 
 BLOCK, QUERY_BLOCK, SCORE_ROWS = 8192, 2048, 64
+#: Bytes of query blocks that a task holds at once.
+SLICE_BYTES = 32 << 20
 
 
 def quantise(df: DataFrame, scale: int = 1024) -> DataFrame:
@@ -119,15 +122,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates; both sides as from quantise."""
     spark = vectors.sparkSession
     ship(spark)
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = "ids binary, matrix binary, terms int"
     # sorted, so that a task that runs again makes the same blocks
     asked = queries.dropDuplicates(["vec_id", "v"]).sortWithinPartitions("vec_id", "v").mapInArrow(_packed(QUERY_BLOCK), packed)
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("terms").alias("q_terms"), F.xxhash64("ids", "matrix").alias("q_block"))
-    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = stage(asked, "topk")
+    held = asked.agg(F.sum(F.octet_length("q_ids").cast("long") + F.octet_length("q_matrix"))).first()[0] or 0
+    asked = asked.repartition(-(-held // SLICE_BYTES) or 1)
     blocks = vectors.mapInArrow(_packed(BLOCK), packed)
-    blocks = blocks.withColumn("group", F.pmod(F.xxhash64("ids", "matrix"), F.lit(groups)).cast("int"))
-    found = blocks.join(asked, "group").mapInArrow(_search(k), "query_id long, q_block long, q long, vec_id long, score long")
+    blocks = blocks.repartition(F.xxhash64("ids", "matrix"))
+    # the hint keeps Spark from a broadcast, which would go through the driver
+    found = blocks.crossJoin(asked.hint("shuffle_replicate_nl")).mapInArrow(_search(k), "query_id long, q_block long, q long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q_block", "q").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
