@@ -256,3 +256,25 @@ def test_files_are_pruned_by_key(engine, spark, monkeypatch):
     assert [r.v for r in s.query("SELECT v FROM t WHERE id = 42").collect()] == ["changed"]
     plan = s.query("SELECT COUNT(*) AS n FROM t")
     assert plan.collect()[0].n == 500 and not plan.inputFiles()
+
+
+def test_many_edits_in_small_files_are_not_broadcast(engine):
+    s = engine.session()
+    s.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    plan = lambda t: s.rows(t)._jdf.queryExecution().executedPlan().toString()
+    for t, n in (("many", 30000), ("few", 3)):
+        s.execute(f"CREATE TABLE {t} (id BIGINT PRIMARY KEY, state ENUM('new', 'old'))")
+    s.execute("BEGIN")
+    for t, n in (("many", 30000), ("few", 3)):
+        s.execute(f"INSERT INTO {t} SELECT id, 'new' FROM range({n})")
+    assert "SortMergeJoin" in plan("many") and "BroadcastHashJoin" not in plan("many")
+    assert "BroadcastHashJoin" in plan("few")
+    s.execute("UPDATE many SET id = id + 1 WHERE id >= 15000")
+    assert s.execute("INSERT IGNORE INTO many VALUES (1, 'old'), (15000, 'old')") == 1
+    assert s.execute("INSERT INTO many VALUES (2, 'old'), (40000, 'old') ON DUPLICATE KEY UPDATE state = VALUES(state)") == 2
+    s.execute("COMMIT")
+    if engine.mode == "journal":
+        assert "SortMergeJoin" in plan("many") and "BroadcastHashJoin" not in plan("many") and "BroadcastHashJoin" in plan("few")
+    engine.checkpoint()
+    assert rows(s, "SELECT count(*), count(DISTINCT id), max(id), count_if(state = 'old') FROM many") == [(30002, 30002, 40000, 3)]
+    assert engine.row_count("many") == (30002, True)

@@ -23,6 +23,13 @@ def same_key(left: DataFrame, right: DataFrame, key: Sequence[str]):
     return out
 
 
+def by_rows(side: DataFrame, n: int) -> DataFrame:
+    """A side of a join with n rows at most. Spark guesses its size by the bytes of files, and well compressed ones can hold millions of
+    rows in what it would broadcast through the driver; where n rows are more than it may, the join is one of sorted sides."""
+    limit = side._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return side.hint("merge") if n * (8 + side._jdf.schema().defaultSize()) > limit else side
+
+
 def latest_per_key(edits: DataFrame, key: Sequence[str]) -> DataFrame:
     """The last edit of each key by (generation, seq): one aggregation, combined before the shuffle."""
     whole = F.struct(*[F.col(c) for c in edits.columns])
@@ -30,10 +37,10 @@ def latest_per_key(edits: DataFrame, key: Sequence[str]) -> DataFrame:
     return newest.select("_e.*")
 
 
-def overlay(base: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFrame:
-    """base with edits applied: keys that were edited leave the base, live edits join it."""
+def overlay(base: DataFrame, edits: DataFrame, key: Sequence[str], n: int = 0) -> DataFrame:
+    """base with edits applied: keys that were edited leave the base, live edits join it. n: of edits, at most, where it is known."""
     newest = latest_per_key(edits, key)
-    kept = base.join(newest.select(*key), list(key), "left_anti").select(*base.columns)
+    kept = base.join(by_rows(newest.select(*key), n), list(key), "left_anti").select(*base.columns)
     return kept.unionByName(newest.where(F.col("_op") == "put").select(*base.columns))
 
 

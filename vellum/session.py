@@ -30,6 +30,8 @@ MODES = ("journal", "audit")
 FILE_BYTES, LITERAL_ORDER, DISTRIBUTED_COPIES = 128 << 20, 100, 64
 #: Types of a first key column whose range is kept for each file: their text says all, and compares as the column does.
 PRUNED = frozenset("tinyint smallint mediumint int bigint date".split())
+#: Rows where their number is not known: of edits in journal entries that do not say it.
+UNKNOWN = 1 << 60
 _STATEMENT_META = "`_op` string, `_seq` bigint, `_tx` string"
 
 
@@ -50,6 +52,12 @@ class TableState:
     files: tuple[dict, ...] = ()
     changes: tuple[str, ...] = ()
     order: tuple[tuple[str, int], ...] = ()  # transaction, generation
+    edits: int = 0  # rows in changes, at most
+
+    @property
+    def most(self) -> int:
+        """Rows at most; nothing is read to tell."""
+        return sum(f["rows"] for f in self.files) + self.edits
 
 
 @dataclass
@@ -78,7 +86,7 @@ def snapshot(store: Store, version: str | None = None, journal: bool = True) ->
                 tables[k] = TableState(t["name"], Schema.from_json(t["schema"]), tuple(t["files"]))
             if t.get("changes"):
                 now = tables[k]
-                tables[k] = replace(now, changes=(*now.changes, *t["changes"]), order=(*now.order, (e["tx"], generation)))
+                tables[k] = replace(now, changes=(*now.changes, *t["changes"]), order=(*now.order, (e["tx"], generation)), edits=now.edits + t.get("edits", UNKNOWN))
     return Snapshot(head.id, generation, tables)
 
 
@@ -90,6 +98,7 @@ class Transaction:
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
     statements: int = 0
     changes: dict[str, list[str]] = field(default_factory=dict)  # table -> change files of this transaction
+    edits: dict[str, int] = field(default_factory=dict)  # table -> rows in them, at most
     formed: dict[str, dict] = field(default_factory=dict)  # table -> new form or dropped
 
 
@@ -161,13 +170,13 @@ class Engine:
         return rows.join(F.broadcast(numbers), "_tx").drop("_tx")
 
     def rows(self, state: TableState, own: Sequence[str] = (), tx: str = "", spark: SparkSession | None = None) -> DataFrame:
-        """The table's rows: base, journal and a transaction's own edits, newest first."""
+        """The table's rows: base, journal and a transaction's own edits, newest first; the state's number of edits holds these too."""
         base = self.base_rows(state, spark)
         files = [*state.changes, *own]
         if not files:
             return base
         order = [*state.order, (tx, 1 << 62)] if own else list(state.order)
-        return overlay.overlay(base, self.edits(state, files, order, spark), state.schema.key)
+        return overlay.overlay(base, self.edits(state, files, order, spark), state.schema.key, state.edits)
 
     def write_base(self, name: str, rows: DataFrame, schema: Schema) -> list[dict]:
         """Base files, sorted by key within key ranges, with their row counts and digests."""
@@ -230,7 +239,7 @@ class Engine:
             near = self._near(state, edits)
             if near:
                 base = self.base_rows(replace(state, files=tuple(near))).select(*key, F.col("_metadata.file_path").alias("_file"))
-                touched = {r["_file"].rsplit("/", 2)[-2] + "/" + r["_file"].rsplit("/", 1)[-1] for r in base.join(edits.select(*key), key, "left_semi").select("_file").distinct().collect()}
+                touched = {r["_file"].rsplit("/", 2)[-2] + "/" + r["_file"].rsplit("/", 1)[-1] for r in base.join(overlay.by_rows(edits.select(*key), state.edits), key, "left_semi").select("_file").distinct().collect()}
             tail = lambda p: "/".join(p.split("/")[-2:])
             rewrite = [f for f in files if tail(f["path"]) in touched]
             part = replace(state, files=tuple(rewrite))
@@ -354,7 +363,7 @@ class Session:
         tables = {k: dict(v) for k, v in tx.formed.items()}
         for k, files in tx.changes.items():
             if not tables.get(k, {}).get("dropped"):
-                tables.setdefault(k, {})["changes"] = files
+                tables.setdefault(k, {}).update(changes=files, edits=tx.edits[k])
         return {"tx": tx.id, "time": time.time(), "tables": tables}
 
     def _commit_journal(self, tx: Transaction) -> None:
@@ -368,14 +377,14 @@ class Session:
                     theirs = e["tables"][k]
                     if k in tx.formed or theirs.get("dropped") or "files" in theirs:
                         raise ConflictError(f"the form of {k} was changed by another transaction")
-                    self._check_overlap(tx, k, theirs["changes"])
+                    self._check_overlap(tx, k, theirs["changes"], theirs.get("edits", UNKNOWN))
             self.store.append(head, tx.base.generation + len(newer) + 1, self._entry(tx))
 
-    def _check_overlap(self, tx: Transaction, k: str, theirs: Sequence[str]) -> None:
-        """First committer wins on rows and on values of unique keys."""
+    def _check_overlap(self, tx: Transaction, k: str, theirs: Sequence[str], n: int) -> None:
+        """First committer wins on rows and on values of unique keys. n: rows in their edits, at most."""
         state = tx.tables[k]
         mine, other = (self.engine.edits(state, files, [("", 0)], self.spark) for files in (tx.changes[k], theirs))
-        key = state.schema.key
+        key, other = state.schema.key, overlay.by_rows(other, n)
         if mine.join(other, overlay.same_key(mine, other, key), "left_semi").limit(1).count():
             raise ConflictError(f"rows of {state.name} were changed by another transaction")
         for i in state.schema.indexes:
@@ -391,7 +400,7 @@ class Session:
             tables = {}
             for k, state in tx.tables.items():
                 own = tx.changes.get(k, [])
-                full = replace(state, changes=(*state.changes, *own), order=(*state.order, *([(tx.id, 1 << 62)] if own else [])))
+                full = replace(state, changes=(*state.changes, *own), order=(*state.order, *([(tx.id, 1 << 62)] if own else [])), edits=state.edits + tx.edits.get(k, 0))
                 tables[k] = self.engine._folded(full)
             done = (*(e["tx"] for e in self.store.journal(tx.base.version)), tx.id)
             self.store.publish((tx.base.version,), f"transaction {tx.id}", tables, done, expected=tx.base.version)
@@ -433,8 +442,10 @@ class Session:
 
     def _rows_of(self, tables: dict[str, TableState], table: str) -> DataFrame:
         state = Engine._state(Snapshot("", 0, tables), table)
-        own = self.tx.changes.get(table.lower(), []) if self.tx else []
-        return self.engine.rows(state, own, self.tx.id if self.tx else "", self.spark)
+        if not self.tx:
+            return self.engine.rows(state, spark=self.spark)
+        k = table.lower()
+        return self.engine.rows(replace(state, edits=state.edits + self.tx.edits.get(k, 0)), self.tx.changes.get(k, []), self.tx.id, self.spark)
 
     def _bind(self, text: str) -> bool:
         """Temporary views of the tables that a text names, and of the catalog; whether one of them has an enum."""
@@ -592,6 +603,10 @@ class Session:
         self.engine.work.rows_changed += n
         return n
 
+    def _most(self, state: TableState) -> int:
+        """Rows of a table in the present transaction, at most."""
+        return state.most + self.tx.edits.get(state.name.lower(), 0)
+
     def _stored(self, rows: DataFrame, schema: Schema) -> DataFrame:
         return rows.select(*[c.type.store(F.col(c.name)).cast(c.type.spark).alias(c.name) for c in schema.columns])
 
@@ -606,17 +621,21 @@ class Session:
         self.engine.work.files_written += len(files)
         return files, self.spark.read.schema(f"{state.schema.ddl}, {_STATEMENT_META}").parquet(*[self.store.path(f) for f in files]) if files else rows
 
-    def _apply(self, state: TableState, edits: DataFrame, checked) -> int:
-        """Writes edits, checks the written rows, and lets them belong to the transaction only if they pass. Gives the rows put."""
+    def _apply(self, state: TableState, edits: DataFrame, checked, each: int = 1) -> int:
+        """Writes edits, checks the written rows, and lets them belong to the transaction only if they pass. Gives the rows put, each of
+        which stands for so many edits at most."""
         files, written = self._materialise(state, edits)
         n = checked(written) if files else 0
         if files:
-            self.tx.changes.setdefault(state.name.lower(), []).extend(files)
+            k = state.name.lower()
+            self.tx.changes.setdefault(k, []).extend(files)
+            self.tx.edits[k] = self.tx.edits.get(k, 0) + n * each
         self.tx.statements += 1
         return n
 
-    def _check(self, state: TableState, current: DataFrame, gone: DataFrame | None = None, changed: Sequence[str] | None = None):
-        """A check of written edits against the table without the keys that the statement removes (gone, and its deletions).
+    def _check(self, state: TableState, current: DataFrame, gone: DataFrame | None = None, changed: Sequence[str] | None = None, removed: int | None = None):
+        """A check of written edits against the table without the keys that the statement removes (gone, and its deletions; removed says
+        how many at most, if not as many as the rows put).
 
         One query counts the rows and what is wrong in them; a second looks for clashes of the keys that hold a changed
         column (None: all).
@@ -637,8 +656,8 @@ class Session:
             keys = [("PRIMARY", schema.key), *[(i.name, i.columns) for i in schema.indexes if i.unique]]
             keys = [(name, columns) for name, columns in keys if changed is None or not set(changed).isdisjoint(columns)]
             if keys and found["n"]:
-                left = written.where("_op = 'del'").select(*schema.key) if gone is None else gone
-                rest = current.join(left, overlay.same_key(current, left, schema.key), "left_anti")
+                left = overlay.by_rows(written.where("_op = 'del'").select(*schema.key) if gone is None else gone, found["n"] if removed is None else removed)
+                rest = overlay.by_rows(current.join(left, overlay.same_key(current, left, schema.key), "left_anti"), self._most(state))
                 clashes = None
                 for name, columns in keys:
                     whole = new.dropna(subset=list(columns))
@@ -682,7 +701,7 @@ class Session:
         if s.args["ignore"] or s.args["updates"]:
             rows = self._held(rows, state)
         if s.args["ignore"]:
-            rows = dml.first_per_key(rows, schema.key, ["_at"])
+            rows, current = dml.first_per_key(rows, schema.key, ["_at"]), overlay.by_rows(current, self._most(state))
             for columns in [schema.key, *[i.columns for i in schema.indexes if i.unique]]:
                 rows = rows.join(current, overlay.same_key(rows, current, columns), "left_anti") if columns == schema.key else self._unclaimed(rows, current, columns)
             edits = rows
@@ -712,14 +731,16 @@ class Session:
         if constraints.duplicate_keys(rows, schema.key).limit(1).count():
             raise ConstraintError("one statement names a key twice")
         values = {schema.column(c).name: re.sub(r"\bVALUES\s*\(\s*`?(\w+)`?\s*\)", r"new.\1", router.to_spark(v), flags=re.I) for c, v in s.args["updates"].items()}
+        n = rows.count()
+        rows = overlay.by_rows(rows, n)
         touched = current.join(rows, overlay.same_key(current, rows, schema.key), "left_semi")
         after = dml.upsert(touched, rows.drop("_at"), schema.key, values)
-        old = touched.select(F.struct(*schema.names).alias("_old"), *[F.col(k).alias(k) for k in schema.key])
+        old = overlay.by_rows(touched.select(F.struct(*schema.names).alias("_old"), *[F.col(k).alias(k) for k in schema.key]), n)
         changed = after.join(old, overlay.same_key(after, old, schema.key), "left").select(*[after[c] for c in schema.names], "_old")
         changed = changed.where(~F.struct(*schema.names).eqNullSafe(F.col("_old"))).select(*schema.names)
         gone = touched.select(*schema.key)
         edits = self._stored(changed, schema).select("*", F.lit("put").alias("_op"))
-        return self._apply(state, edits, self._check(state, current, gone))
+        return self._apply(state, edits, self._check(state, current, gone, removed=n))
 
     def _update(self, s: Statement, state: TableState, args) -> int:
         schema, current = state.schema, self._rows_of(self.tx.tables, state.name)
@@ -739,11 +760,11 @@ class Session:
             moved = moved | ~F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
         left = pairs.where(moved).select(*[F.col(f"old.{k}").alias(k) for k in schema.key])
         # a key that one row leaves and another takes keeps the row: the put of a statement wins over its deletion
-        taken = pairs.select(*[F.col(f"new.{k}").alias(k) for k in schema.key])
+        taken = overlay.by_rows(pairs.select(*[F.col(f"new.{k}").alias(k) for k in schema.key]), self._most(state))
         deletions = overlay.deletions(left, current, schema.key).select(*schema.names, "_op")
         deletions = deletions.join(taken, overlay.same_key(deletions, taken, schema.key), "left_anti")
         old_keys = pairs.select(*[F.col(f"old.{k}").alias(k) for k in schema.key])
-        return self._apply(state, edits.unionByName(deletions), self._check(state, current, old_keys, list(value)))
+        return self._apply(state, edits.unionByName(deletions), self._check(state, current, old_keys, list(value)), 2)
 
     def _delete(self, s: Statement, state: TableState, args) -> int:
         schema, current = state.schema, self._rows_of(self.tx.tables, state.name)
@@ -798,6 +819,7 @@ class Session:
         self.tx.formed[k] = {"name": name, "schema": schema.to_json(), "files": files}
         self.tx.tables[k] = TableState(name, schema, tuple(files))
         self.tx.changes.pop(k, None)
+        self.tx.edits.pop(k, None)
 
     def _rows_now(self, state: TableState) -> DataFrame:
         return self._rows_of(self.tx.tables, state.name)
