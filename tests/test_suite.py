@@ -102,3 +102,27 @@ def test_whole_tables_are_joined_ranked_and_computed(spark, db):
     assert len(left) == rows("part") < len(joined) and len(right) == rows("customer") < len(joined)
     assert suite.QUERIES["win_distribution"](spark, SF).count() == rows("part")
     assert suite.QUERIES["decimal_arith"](spark, SF).count() == rows("lineitem")
+
+
+def joined(node):
+    """Rows that the joins of a plan that ran have made."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined(node.plan())
+    own = node.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0
+    return own + sum(joined(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_a_self_join_is_counted_without_its_pairs(spark, tmp_path):
+    """A group of many, groups of one, keys with several rows and in several groups, nulls."""
+    odd = [(k, 7) for k in range(1500)] + [(5, 7), (5, 8), (6, 8), (6, 8), (9000, 9), (9001, 10), (9001, 10), (None, 7), (None, None), (9002, None), (3, -1), (None, -1)]
+    spark.createDataFrame(odd, "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    df = suite.QUERIES["join_self"](spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(con.sql(suite.ORACLES["join_self"]).fetchall()) and len(got) == 1500
+    assert df.dtypes == [("a", "bigint"), ("n", "bigint")]
+    assert joined(df._jdf.queryExecution().executedPlan()) <= len(odd)

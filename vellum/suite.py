@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import dialect
-from vellum.operators import constraints, ddl, dml, merge, overlay
+from vellum.operators import constraints, ddl, dml, merge, overlay, selfjoin
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,7 +112,14 @@ sql(
 )
 sql("not_in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P' AND o_totalprice > 200000)")
 sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_name > b.n_name")
-sql("join_self", "SELECT a.c_custkey AS a, count(*) AS n FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY a.c_custkey")
+
+
+@frame("SELECT a.c_custkey AS a, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY a.c_custkey")
+def join_self(spark, t):
+    """A nation's pairs are the square of its customers, so they are counted by its size."""
+    return selfjoin.others_in_group(t("customer"), "c_custkey", "c_nationkey", "a", "n")
+
+
 sql(
     "join_multiway",
     "SELECT r_name, count(*) AS n FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey GROUP BY r_name",
